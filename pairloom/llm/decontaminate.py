@@ -25,12 +25,14 @@ from pairloom.llm.common import table
 #: Words of a segment; a passage is two such stretches, so every segment lies whole in some passage.
 SEGMENT = 64
 #: Share of a segment's own score from which a passage is looked at, and of covered words from which it counts.
-MIN_SCORE, MIN_OVERLAP, RUN = 0.5, 0.8, 5
+MIN_SCORE, MIN_OVERLAP, RUN = 0.6, 0.8, 5
+#: Score that at least has to come from the rarer terms, for a passage to reach MIN_SCORE.
+_RARE_SCORE = 0.25
 #: Characters of test items in one index. Larger benchmarks are indexed in parts, one after the other.
 INDEX_CHARS = 20_000_000
 #: Characters of documents that are worked on at once.
-_CHUNK_CHARS = 1_500_000
-_BLOCK, _RANGES = 32, 16
+_CHUNK_CHARS = 400_000
+_BLOCK, _RANGES = 32, 256
 _WORDS = re.compile(r"\w+")
 
 
@@ -83,6 +85,14 @@ class ItemIndex:
                 most[s // _BLOCK] = max(x, most.get(s // _BLOCK, 0.0))
                 self.range_most[t, s // self.width] = max(x, self.range_most[t, s // self.width])
             self.block_most.append(most)
+        # The commonest terms whose scores leave _RARE_SCORE to the others, whatever the segment.
+        self.common_most = np.zeros(self.range_most.shape[1], np.float32)
+        self.rare = dict(self.terms)
+        for w in sorted(self.terms, key=lambda w: (-df[w], w)):
+            if (more := self.common_most + self.range_most[self.terms[w]]).max() > MIN_SCORE - _RARE_SCORE:
+                break
+            self.common_most = more
+            del self.rare[w]
 
     def retrieve(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """(segment, score) of all segments that score least or more, by block-max WAND."""
@@ -127,36 +137,34 @@ class ItemIndex:
         """(text number, item number, score, question overlap, answer overlap), once for each text and item."""
         slack = 1e-4  # the bounds are kept in single precision
         words = [words_of(t) for t in texts]
-        get = self.terms.get
+        get = self.rare.get
         known = [np.fromiter(map(get, w, repeat(-1)), np.int64, len(w)) for w in words]
         halves = [-(-len(w) // self.segment) for w in words]
         base = np.concatenate([[0], np.cumsum(halves)])
         if not base[-1] or not self.items:
             return []
         ids = np.concatenate(known)
-        half = np.concatenate([np.arange(len(w)) // self.segment + base[n] for n, w in enumerate(words)])
-        keys = np.unique(half[ids >= 0] * len(self.terms) + ids[ids >= 0])
-        h, t = np.divmod(keys, len(self.terms))
-        first = np.searchsorted(h, np.arange(base[-1] + 1))
-        bound = np.zeros((base[-1] + 1, self.range_most.shape[1]), np.float32)
-        full = np.flatnonzero(first[1:] > first[:-1])
-        if len(full):
-            bound[full] = np.add.reduceat(self.range_most[t], first[full], axis=0)
         own = np.repeat(np.arange(len(words)), halves)
-        joined = np.zeros(base[-1], bool)  # the next half belongs to the same text
-        joined[:-1] = own[1:] == own[:-1]
-        pair = bound[:-1] + np.where(joined[:, None], bound[1:], 0)
+        at = np.flatnonzero(ids >= 0)
+        starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        text = np.searchsorted(starts, at, "right") - 1
+        half, ids = (at - starts[text]) // self.segment + base[text], ids[at]
+        # Passage x is halves x and x + 1 of one text: a word of half x is in passage x - 1 too.
+        also = np.flatnonzero((half > 0) & (own[half - 1] == own[half]))
+        keys = np.unique(np.concatenate([half, half[also] - 1]) * len(self.terms) + np.concatenate([ids, ids[also]]))
+        passage, t = np.divmod(keys, len(self.terms))
+        first = np.searchsorted(passage, np.arange(base[-1] + 1))
+        full = np.flatnonzero(first[1:] > first[:-1])
+        bound = np.add.reduceat(self.range_most[t], first[full], axis=0) if len(full) else np.zeros((0, 1), np.float32)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for x in np.flatnonzero((pair >= least - slack).any(axis=1)).tolist():
+        for x in full[(bound + self.common_most >= least - slack).any(axis=1)].tolist():
             n = int(own[x])
-            there = np.unique(t[first[x] : first[x + 1 + bool(joined[x])]])
-            if (self.range_most[there].sum(axis=0) < least - slack).all():
-                continue
-            for s, score in self.retrieve(there.tolist(), least):
+            at = (x - int(base[n])) * self.segment
+            there = {k for w in words[n][at : at + 2 * self.segment] if (k := self.terms.get(w)) is not None}
+            for s, score in self.retrieve(sorted(there), least):
                 item = self.owner[s]
                 if best.get((n, item), (0, 0, 0))[0] >= score:
                     continue
-                at = (x - int(base[n])) * self.segment
                 # Around the passage, so that a long item's other segments are there too.
                 near = words[n][max(0, at - self.lengths[item]) : at + 2 * self.segment + self.lengths[item]]
                 q, a = (_covered(p, near) for p in self.parts[item])
