@@ -38,9 +38,9 @@ def fold(df: DataFrame, steps: list[Step], trace: bool = False) -> DataFrame:
     out = df.withColumn("_s0", F.lit(0.0))
     for n, s in enumerate(steps):
         was = F.col(f"_s{n}")
-        hit = F.coalesce(s.when, F.lit(False))
-        now = was + s.value() if s.kind == "weight" else F.least(was, s.value())
-        out = out.withColumn(f"_s{n + 1}", F.when(hit, now).otherwise(was))
+        value = F.when(F.coalesce(s.when, F.lit(False)), s.value())
+        # Each partial score is named once; least() passes over the null of a step that does not apply.
+        out = out.withColumn(f"_s{n + 1}", was + F.coalesce(value, F.lit(0.0)) if s.kind == "weight" else F.least(was, value))
     last = F.col(f"_s{len(steps)}")
 
     def told(kind: tuple[str, ...]) -> Column:
@@ -69,11 +69,22 @@ def part_pairs(part: DataFrame) -> DataFrame:
     return found.join(a, "a").join(b, "b")
 
 
+def part_signals(pairs_: DataFrame) -> DataFrame:
+    """Each signal as a column, so that the rules share what it costs."""
+    named = pairs_.withColumns({"_x": text.normalize(F.col("a_name")), "_y": text.normalize(F.col("b_name"))})
+    return named.withColumns(
+        {
+            "same_brand": F.col("a_brand") == F.col("b_brand"),
+            "alike": text.similarity(F.col("_x"), F.col("_y")),
+            "gap": F.abs(F.col("a_size") - F.col("b_size")),
+            "price_gap": F.abs(F.col("a_retailprice") - F.col("b_retailprice")),
+        }
+    ).drop("_x", "_y")
+
+
 def part_steps() -> list[Step]:
-    brand = F.col("a_brand") == F.col("b_brand")
-    alike = text.similarity(text.normalize(F.col("a_name")), text.normalize(F.col("b_name")))
-    gap = F.abs(F.col("a_size") - F.col("b_size"))
-    price = F.abs(F.col("a_retailprice") - F.col("b_retailprice"))
+    """The rules over the signals of part_signals()."""
+    brand, alike, gap, price = map(F.col, ("same_brand", "alike", "gap", "price_gap"))
     return [
         Step("weight", "shared brand", 0.6, brand),
         Step("weight", "same type", 0.1, F.lit(True)),
@@ -90,6 +101,6 @@ def part_steps() -> list[Step]:
 
 def score_parts(part: DataFrame, trace: bool = False) -> DataFrame:
     """Scored pairs of parts, the younger (higher id) as merged_from."""
-    out = fold(part_pairs(part), part_steps(), trace)
+    out = fold(part_signals(part_pairs(part)), part_steps(), trace)
     cols = ["confidence", "reasons", *(["trace"] if trace else [])]
     return out.select(F.greatest("a", "b").alias("merged_from"), F.least("a", "b").alias("merged_into"), *cols)

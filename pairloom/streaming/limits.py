@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _micros(ts: str):
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def hits_in_window(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """events with the hits of their key in the seconds up to them, themselves included."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(key).orderBy(_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("hits", F.count(F.lit(1)).over(w))
 
 
@@ -22,7 +26,7 @@ def rate_limit(events: DataFrame, key: str, ts: str, id_: str, most: int, second
     Whether a hit counts depends on the ones before, so a key's events are read in order, a batch
     at a time; only the hits inside the window are held.
     """
-    rows = events.select(F.col(id_).alias("id"), F.col(key).cast("string").alias("k"), F.unix_micros(ts).alias("us"))
+    rows = events.select(F.col(id_).alias("id"), F.col(key).cast("string").alias("k"), _micros(ts).alias("us"))
     rows = rows.repartition("k").sortWithinPartitions("k", "us", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
