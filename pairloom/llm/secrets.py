@@ -82,10 +82,10 @@ def _strings(items) -> tuple[set[str] | None, list[set[frozenset[str]]]]:
             one, inner = _strings(sub)
             if (low, high) == (0, 1):
                 part, inner = (one | {""} if one is not None else None), []
-            elif low == high and one is not None and low <= 4:
-                part = {"".join(x) for x in itertools.product(one, repeat=low)} if len(one) ** low <= _MAX_SET else None
-            else:
-                part, inner = None, inner if low else []
+            elif low == high and one is not None and low <= 4 and len(one) ** low <= _MAX_SET:
+                part = {"".join(x) for x in itertools.product(one, repeat=low)}
+            else:  # once at least, so what one round needs holds
+                part, inner = None, [*inner, *([_query_of(one)] if one else [])] if low else []
         else:
             part = {""} if op is _k.AT else None
         needs += inner
