@@ -41,12 +41,21 @@ _MAGIC, _VERSION = 0x4B544C50, 1
 _HEAD = struct.Struct("<IIQII")
 #: Where a space does not begin a piece of its own: before white space, and at the end.
 _UNEVEN = re.compile(r" (?:\s|\Z)")
+#: A word of Latin letters and the ASCII marks after it. The pre-tokenizer takes the two apart, and " word" is one part.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Pieces that a worker remembers; then it forgets all and starts anew.
 _REMEMBERED = 500_000
 #: By path, so that a worker's tasks share what it remembers.
 _TOKENIZERS: dict[str, PieceTokenizer] = {}
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character by which a byte-level vocabulary writes each byte: itself if printable, else the next from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class PieceTokenizer:
     """The ids of the tokenizers library, computed once for each space-separated piece of a text.
 
@@ -59,6 +68,7 @@ class PieceTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -66,28 +76,42 @@ class PieceTokenizer:
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.line_end = int(np.frombuffer(self._library(["\n"])[0], "<u2")[0])
+        self.bytes = _byte_characters()
+        # The same model on words that are written in the vocabulary's characters already.
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = Split(self.bytes[0x20], "merged_with_next")
+        self.begins = np.zeros(65536, bool)
+        self.begins[[i for t, i in self.library.get_vocab().items() if t.startswith(self.bytes[0x20]) and i < 65536]] = True
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece after a space, in one call for all without line ends.
-
-        A line end before a space is an id of its own, so it divides the ids of its neighbours.
-        """
-        lined = [p for p in pieces if p and not p[-1].isspace() and "\n" not in p]
-        ids = np.frombuffer(self._library(["".join([f" {p}\n" for p in lined])])[0], "<u2")
-        at = np.flatnonzero(ids == self.line_end)
-        if len(at) != len(lined):  # not so for this tokenizer
-            return self._library([" " + p for p in pieces])
-        raw, ends = ids.tobytes(), (2 * at).tolist()
-        done = {p: raw[a:b] for p, a, b in zip(lined, [0, *[e + 2 for e in ends]], ends, strict=False)}
-        rest = [p for p in pieces if p not in done]
-        done.update(zip(rest, self._library([" " + p for p in rest]), strict=True))
-        return [done[p] for p in pieces]
+        return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """The ids of each word of _PLAIN letters after a space, in one call; a space is in no other place of a token."""
+        written = "".join([" " + w for w in words]).encode().decode("latin-1").translate(self.bytes)
+        ids = np.array(self.words.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u2")
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) != len(words):  # not so for this tokenizer
+            return self._library([" " + w for w in words])
+        raw, ends = ids.tobytes(), [*(2 * at).tolist(), 2 * len(ids)]
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remembers the ids of pieces after a space."""
+        later, plain, rest = self.later, [], []
+        for p in pieces:
+            if m := _PLAIN.fullmatch(p):
+                plain.append((p, *m.groups()))
+            else:
+                rest.append(p)
+        words = [w for w in {w for _, w, _ in plain} if w not in later]
+        later.update(zip(words, self._plain(words), strict=True))
+        tails = list({t for _, _, t in plain})
+        ids = dict(zip(tails, self._library(tails), strict=True))
+        later.update((p, later[w] + ids[t]) for p, w, t in plain)
+        later.update(zip(rest, self._library([" " + p for p in rest]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, u16 little-endian."""
@@ -102,10 +126,9 @@ class PieceTokenizer:
         for known in (self.first, self.later):
             if len(known) > _REMEMBERED:
                 known.clear()
-        new = list({h for _, h, _ in split} - self.first.keys())
+        new = [h for h in {h for _, h, _ in split} if h not in self.first]
         self.first.update(zip(new, self._library(new), strict=True))
-        new = list(set().union(*[r for _, _, r in split]) - self.later.keys())
-        self.later.update(zip(new, self._pieces(new), strict=True))
+        self._learn([p for p in set().union(*[r for _, _, r in split]) if p not in self.later])
         get = self.later.__getitem__
         for n, head, rest in split:
             out[n] = self.first[head] + b"".join(map(get, rest))
