@@ -26,8 +26,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 3000, 12_000_000
 FOLDS, HELD_OUT = 4, 2
 PREDICT_FROM = 0.3
 WINDOW_WORDS = 8
-ORDINARY_BYTES, TOXIC_BYTES = 16_000, 1_200
-_LEVEL, _MIN_MATCH = 9, 4
+ORDINARY_BYTES, TOXIC_BYTES = 32_000, 1_200
+_LEVEL, _MIN_MATCH = 3, 4
 
 
 def _words(text: str | None) -> list[bytes]:
