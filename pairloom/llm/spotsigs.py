@@ -13,11 +13,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialise, table
+from pairloom.llm.common import checked_broadcast, materialise, table
 
 #: Common words of English, French, German and Spanish, after which a chain of content words begins.
 ANCHORS = frozenset(
@@ -93,54 +93,56 @@ _ROW = pa.schema(
     + [(c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")]
     + [("near_edited", pa.float64()), ("near_next", pa.float64())]
 )
-_MARKED = pa.schema([("part", pa.int64()), ("role", pa.string()), *_ROW, ("text", pa.string())])
+#: Ranges of ids for each shuffle partition; several, so that hashed ranges fill partitions evenly.
+RANGES = 4
+
+
+def _ranges(rows: DataFrame, n: int) -> DataFrame:
+    """rows with a number part of up to n ranges of doc_id, which ascends as ids descend; null ids have one of their own."""
+    value = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan")))
+    cuts = rows.select(F.col("doc_id").cast("double").alias("v")).approxQuantile("v", [k / n for k in range(1, n)], 0.5 / n)
+    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="_value", outputCol="_range", handleInvalid="keep").transform(rows.withColumn("_value", value))
+    last = len(splits) - 2
+    part = F.when(F.col("doc_id").isNull(), last + 1).otherwise(last - F.col("_range").cast("int"))
+    return ranged.withColumn("part", part).drop("_value", "_range")
 
 
 def fingerprint_chain(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint beside those of its edited text and of the next row in descending doc_id order.
 
     After the last row comes the first; null ids are last, and rows with one id are ordered by
-    their texts' hash. Null texts are empty. The rows are dealt in ranges and sorted; where a range
-    ends, its last row meets the next range's first in a second, small step.
+    their texts' hash. Null texts are empty. The rows are dealt in ranges of ids and sorted; each
+    range also gets the first row of the next, so nothing but these few rows is written on the way.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)
+    rows = _ranges(rows, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tops = checked_broadcast(materialise(rows.groupBy("part").agg(F.max("doc_id").alias("_top")), "spot-tops").withColumnRenamed("part", "_part"))
+    at_top = rows.join(tops, (F.col("part") == F.col("_part")) & F.col("doc_id").eqNullSafe(F.col("_top")))
+    heads = at_top.groupBy("part").agg(F.max("doc_id").alias("doc_id"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    heads = materialise(heads.select("part", F.struct("doc_id", "first.text").alias("head")), "spot-heads")
+    # One row for each range.
+    ranges = Window.partitionBy(F.lit(0)).orderBy("part")
+    first = F.first("head").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = heads.select("part", F.coalesce(F.lead("head").over(ranges), first).alias("next"))
+    ends = ends.select("next.doc_id", "next.text", "part", F.lit(True).alias("end"))
+    dealt = rows.withColumn("end", F.lit(False)).unionByName(ends).repartition("part")
+    dealt = dealt.sortWithinPartitions("part", "end", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), None
+        before = None
         for b in batches:
             out = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for d, t, end in zip(*[b.column(k).to_pylist() for k in ("doc_id", "text", "end")], strict=True):
                 s = signatures(t)
-                if before is None:
-                    out.append((part, "head", d, *[None] * 6, t))
-                else:
-                    out.append((part, "row", *_compare(*before, t, s), None))
-                before = (d, t, s)
-            if out:
-                yield _batch(out, _MARKED)
-        if before is not None:
-            yield _batch([(part, "tail", before[0], *[None] * 6, before[1])], _MARKED)
-
-    marked = materialise(rows.mapInArrow(run, f"part long, role string, {_SCHEMA}, text string"), "spot-chain")
-    # One head and one tail for each range.
-    ends = marked.filter("role <> 'row'").groupBy("part").agg(
-        F.max(F.when(F.col("role") == "head", F.struct("doc_id", "text"))).alias("head"), F.max(F.when(F.col("role") == "tail", F.struct("doc_id", "text"))).alias("tail")
-    )
-    ranges = Window.partitionBy(F.lit(0)).orderBy("part")
-    first = F.first("head").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    pairs = ends.withColumn("next", F.coalesce(F.lead("head").over(ranges), first))
-    pairs = pairs.select("tail.doc_id", "tail.text", F.col("next.text").alias("following"))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [_compare(d, t, signatures(t), n, signatures(n)) for d, t, n in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+                if before is not None:
+                    out.append(_compare(*before, t, s))
+                before = None if end else (d, t, s)
             if out:
                 yield _batch(out, _ROW)
 
-    done = marked.filter("role = 'row'").select(*_ROW.names)
-    return done.unionByName(pairs.mapInArrow(join, _SCHEMA))
+    return dealt.select("doc_id", "text", "end").mapInArrow(run, _SCHEMA)
 
 
 def spot_matches(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
