@@ -22,7 +22,7 @@ from pairloom.llm.components import connected_components
 RADIUS = 2
 #: Fingerprints of a bucket that are compared in one block; larger buckets go through shared neighbours.
 BLOCK = 4096
-_NO_ID = 2**63 - 1
+NO_ID = 2**63 - 1
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) ->
     empty result; other columns are not read.
     """
     prints = materialise(fingerprints(docs, shingle), "simhash")
-    distinct = materialise(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("first")), "simhash-distinct")
+    distinct = materialise(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")), "simhash-distinct")
     linked = connected_components(near_edges(distinct.select("fp"), radius))
     linked = materialise(linked.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "first"), "simhash-linked")
     ids = linked.groupBy("root").agg(F.min("first").alias("component")).withColumnRenamed("root", "_root")
@@ -132,15 +132,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) ->
         F.col("fp").alias("_fp"), F.coalesce("component", "first").alias("component")
     )
     out = prints.join(known, F.col("fp") == F.col("_fp"), "left")
-    return out.select("doc_id", "fp", F.when(F.col("component") < _NO_ID, F.col("component")).alias("component_id"))
+    return out.select("doc_id", "fp", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that have the smallest doc_id of their group, one for each group, columns as they were.
-
-    A group without any id keeps all its rows, as none can be named.
-    """
-    found = materialise(near_duplicates(docs, radius), "simhash-groups")
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is their component_id in found (doc_id, component_id), one for each; rows without either stay."""
     gone = found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(materialise(gone, "simhash-gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
@@ -149,6 +145,14 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return kept
 
 
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs that have the smallest doc_id of their group, one for each group, columns as they were.
+
+    A group without any id keeps all its rows, as none can be named.
+    """
+    return keep_first(docs, materialise(near_duplicates(docs, radius), "simhash-groups"))
+
+
 def op3_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its fingerprint as 16 hexadecimal digits and its component."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
