@@ -360,3 +360,15 @@ def test_license_differences():
     assert [(x[2], x[4], x[5]) for x in got] == [("GPL-3.0", "can", "may")]
     assert licenses.find_licenses("Licensed under the Apache License, Version 1.1.") == []
     assert [x[2] for x in licenses.find_licenses("All Rights Reserved. x " * 3)] == ["proprietary"] * 3
+
+
+@pytest.mark.parametrize("n", range(len(licenses.TEMPLATES)))
+def test_licenses_survive_any_surroundings(docs, n):
+    name, notice = licenses.TEMPLATES[n]
+    r = random.Random(n)
+    for _, t in texts(docs.limit(120)):
+        t = " ".join(w for w in (t or "").split() if not licenses._CUE.search(w))
+        spaces = [i for i, c in enumerate(t) if c == " "]
+        if spaces:
+            at = r.choice(spaces)
+            assert name in [x[2] for x in licenses.find_licenses(f"{t[:at]} {notice}{t[at:]}")]
