@@ -21,8 +21,6 @@ from pairloom.llm.common import table
 
 #: Lines of a window, and the characters that a surge takes where nothing marks the article.
 WINDOW, SURGE = 3, 60
-#: A run of lines counts if it weighs so much of the heaviest.
-_SHARE = 0.1
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
 )
@@ -123,28 +121,27 @@ def lines_of(page: str) -> list[Line]:
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text: its blocks in page order, joined by an empty line; empty for null or empty pages."""
+    # Skipped lines stand in no window: the text before and after them is one surge.
     lines = lines_of(page or "")
     marked = any(x.article and not x.skipped for x in lines)
+    lines = [x for x in lines if not x.skipped]
     weight = []
     for x in lines:
         mostly_links = x.linked * 2 > len(x.text)
-        weight.append(0 if x.skipped or (marked and not x.article) or (mostly_links and not x.article) else max(1, len(x.text) - x.linked))
+        weight.append(0 if (marked and not x.article) or (mostly_links and not x.article) else max(1, len(x.text) - x.linked))
     # Within a marked article any text is a surge.
     need = 1 if marked else min(surge, sum(weight))
-    runs: list[list[int]] = []
+    keep: list[int] = []
     inside = False
     for i in range(len(lines)):
         block = sum(weight[i : i + window])
         if not inside and weight[i] and block >= max(1, need):
-            runs.append([])
             inside = True
         elif inside and not block:
             inside = False
         if inside:
-            runs[-1].append(i)
-    heaviest = max((sum(weight[i] for i in r) for r in runs), default=0)
-    keep = [i for r in runs if marked or sum(weight[i] for i in r) >= _SHARE * heaviest for i in r]
-    return "\n\n".join(lines[i].text for i in keep if not lines[i].skipped and (lines[i].article or not marked))
+            keep.append(i)
+    return "\n\n".join(lines[i].text for i in keep if lines[i].article or not marked)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

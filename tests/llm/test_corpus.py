@@ -335,6 +335,16 @@ def test_page_cases(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize("skipped", ["<aside>ad</aside>" * 3, "<nav>a</nav><div class=promo>b</div><form>c</form><aside>d</aside>"])
+def test_skipped_lines_end_no_text(skipped):
+    paragraphs = ["words " * 40] * 25
+    page = "".join(f"<p>{p}</p>" for p in paragraphs) + skipped + "<p>" + "closing " * 5 + "</p>"
+    assert htmltext.main_text(f"<body>{page}</body>") == "\n\n".join(p.strip() for p in [*paragraphs, "closing " * 5])
+    assert htmltext.main_text(f"<body><h1>Title</h1>{skipped}<p>{paragraphs[0]}</p></body>") == "Title\n\n" + paragraphs[0].strip()
+    late = "<div><a href=x>A link</a></div>" * 3 + "<p>" + "later " * 20 + "</p>"
+    assert htmltext.main_text(f"<body>{page}{late}</body>").endswith(("later " * 20).strip())
+
+
 def test_pages_edges(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, "u", "<p>x</p>", 2), (None, "u", "", 3)], "page_id long, url string, html string, text int")
     assert sorted((r.text, r.n_chars) for r in htmltext.extract_text(df).collect()) == [("", 0), ("", 0), ("x", 1)]
