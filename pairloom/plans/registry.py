@@ -251,6 +251,19 @@ def geo_nearest(spark: SparkSession, d: str) -> DataFrame:
     return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", F.round(geo.nearest(F.col("x"), F.col("y"))).cast("long").alias("metres"))
 
 
+@_query("geo_nearest_all", f"""WITH s AS (SELECT s_suppkey, s_nationkey, {_POINT.format(k="s_suppkey", s=1)} FROM supplier), c AS (SELECT c_nationkey, {_POINT.format(k="c_custkey", s=2)} FROM customer),
+ h AS (SELECT s_suppkey, 2 * 6371000.0::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))) AS m FROM s JOIN c ON c_nationkey = s_nationkey)
+ SELECT s_suppkey, round(min(m))::BIGINT AS metres FROM h GROUP BY 1""")
+def geo_nearest_all(spark: SparkSession, d: str) -> DataFrame:
+    """As geo_nearest, over every customer: distinct points of a nation, and the least distance for each supplier."""
+    def point(k: str, i: int) -> list[Column]:
+        return [(F.col(k) * 37 % 170 - 85).cast("double").alias(f"lat{i}"), (F.col(k) * 53 % 340 - 170).cast("double").alias(f"lon{i}")]
+    s = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey", *point("s_suppkey", 1))
+    c = _t(spark, d, "customer").select("c_nationkey", *point("c_custkey", 2)).distinct()
+    metres = geo.distance(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"), F.lit(geo.RADIUS["earth"]))
+    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).groupBy("s_suppkey").agg(F.round(F.min(metres)).cast("long").alias("metres"))
+
+
 # --- comparison and scoring -------------------------------------------------------------------
 
 
