@@ -276,6 +276,16 @@ def cmp_sets(spark: SparkSession, d: str) -> DataFrame:
     return x.join(y, F.col("b") == F.col("a") + 1).select("a", "b", compare.compare_sets(F.col("sa"), F.col("sb"), compare.compare_exact).alias("status"))
 
 
+@_query("cmp_sets_all", """WITH b AS (SELECT l_suppkey AS k, list_sort(list(DISTINCT p_brand)) AS s FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
+ SELECT x.k AS a, y.k AS b, CASE WHEN x.s = y.s THEN 'identical' WHEN len(list_intersect(x.s, y.s)) = 0 THEN 'distinct' ELSE 'similar' END AS status FROM b x JOIN b y ON y.k = x.k + 1""")
+def cmp_sets_all(spark: SparkSession, d: str) -> DataFrame:
+    """As cmp_sets, over every line."""
+    li = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    b = li.groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_set("p_brand").alias("s"))
+    x, y = b.select(F.col("k").alias("a"), F.col("s").alias("sa")), b.select(F.col("k").alias("b"), F.col("s").alias("sb"))
+    return x.join(y, F.col("b") == F.col("a") + 1).select("a", "b", compare.compare_sets(F.col("sa"), F.col("sb"), compare.compare_exact).alias("status"))
+
+
 @_query("cmp_rows", """WITH x AS (SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS seg, c_name AS nm FROM customer), y AS (SELECT s_suppkey AS k, s_nationkey AS n, s_name AS nm FROM supplier),
  j AS (SELECT x.k, x.nm AS xn, y.nm AS yn, x.n AS xk, y.n AS yk FROM x JOIN y USING (k))
  SELECT k, 'name' AS field, CASE WHEN xn = yn THEN 'identical' WHEN 1 - levenshtein(lower(xn), lower(yn))::DOUBLE / greatest(length(xn), length(yn)) >= 0.75 THEN 'similar' ELSE 'distinct' END AS status FROM j
