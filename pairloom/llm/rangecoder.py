@@ -1,247 +1,407 @@
 """Adaptive context-mixing range coder for token ids below 65536, in array operations.
 
-A block of ids is dealt to LANES lanes, each a stretch of it with a range coder of its own; all
-lanes of all blocks of a call advance together. Every id is predicted by three orders: the last id
-seen after the two ids before it, the last one after the id before it, and the counts of all ids so
-far. The three are mixed: the shares of the first two depend on how often they have been right in a
-row and are learnt as the block goes on, and what they leave is order 0. Ids that the block has not
-had yet follow an escape as 16 plain bits. The model of a block learns after a step schedule, from
-all lanes at once, and starts anew with each block, so that blocks decode independently.
+A block of ids is dealt to lanes, each a stretch of it with a range coder of its own; all lanes of
+all blocks of one shape advance together. Every id is predicted by three orders: the id that last
+followed the two ids before it, with how often in a row it was right; the counts of all ids that
+followed the id before it; and the counts of all ids so far. Which order codes an id is a symbol of
+its own, whose shares are learnt by how sure order 2 is and how often and how variedly order 1 has
+seen its context; within orders 1 and 0 the counts are the shares. Ids that the block has not had
+follow an escape as 16 plain bits. Order 2 and the shares learn every 64 steps, the counts after
+steps that grow by a third or a half, from all lanes at once. The model starts anew with each
+block, so that blocks decode independently.
 
 Block format, little-endian: magic u32, ids u32, CRC-32 of the ids as u32 each u32, CRC-32 of the
-rest u32, LANES x u32 digits of each lane, then the digits, u16 each, lane by lane.
+rest u32, lanes u32, digits of each lane u16, then the digits, 24 bits each, lane by lane; zero
+digits at a lane's end are left out. Where that is no shorter than 16 bits an id, lanes is 0 and the
+ids follow, u16 each.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
 import numpy as np
 
-MAGIC = 0x31524D43
-LANES, STEPS = 64, 960
-BLOCK_IDS = LANES * STEPS
-#: Steps after which the models learn: soon at first, then every 64.
-_LEARN = frozenset({2, 4, 8, 16, 32, *range(64, STEPS, 64)})
-#: Contexts of orders 1 and 2 are hashed to so many slots a block.
-_SLOTS = 1 << 14
-_TOP = 1 << 32
+MAGIC = 0x32524D43
+#: Ids of a full block, of 256 lanes of 1024 steps.
+BLOCK_IDS = 1 << 18
+#: Contexts of order 2 are hashed to so many slots a block.
+_SLOTS = 1 << 16
+#: An id's row of counts is that of the 2 ** 16 ids or, one beyond them, the escape.
+_IDS = 1 << 16
+_SHARES = 1 << 16
+#: State of 48 bits, which float64 holds exactly; a digit of 24 bits leaves when the range falls below 2 ** 24.
+_TOP, _DIGIT = float(1 << 48), float(1 << 24)
 _HEAD = struct.Struct("<IIII")
+#: Steps whose models are looked up in one go, and blocks that are coded in one go.
+_AT_ONCE, _BLOCKS_AT_ONCE = 32, 64
+#: Steps after which counts are learnt.
+_COUNT_AT = (4, 16, 64, 192, 512)
+#: Rows of shares: how sure order 2 is (8), how often (8) and how variedly (4) order 1 has seen the context.
+_SURE, _OFTEN, _VARIED = 8, 8, 4
+_EDGES = np.array([1, 2, 4, 8, 32, 128, 1024])
+_ROWS = _SURE * _OFTEN * _VARIED
+
+
+def _first_shares() -> np.ndarray:
+    """Counts for orders 2, 1 and 0 to begin with, for each row."""
+    sure, often, varied = np.meshgrid(np.arange(_SURE), np.arange(_OFTEN), np.arange(_VARIED), indexing="ij")
+    two = np.where(sure > 0, sure / (sure + 3.0), 0.01)
+    one = np.where(often > 0, (often + 4 * (_VARIED - varied)) / (often + 4 * (_VARIED - varied) + 8.0), 0.01)
+    return (8 * np.stack([two, (1 - two) * one, (1 - two) * (1 - one)], -1) + 0.02).reshape(-1, 3)
+
+
+def lanes_of(ids: int) -> int:
+    """The lanes of a block of that many ids, so that short ones do not consist of lane ends."""
+    return max(1, round(math.sqrt(ids) / 2))
 
 
 class _Models:
-    """The models of several blocks; lane l belongs to block l // LANES."""
-
-    def __init__(self, blocks: int):
-        self.blocks = blocks
-        self.block = np.repeat(np.arange(blocks), LANES)
-        # By context: the id that came last, and above its 16 bits how often in a row it was right.
-        self.last1, self.last2 = np.zeros((2, blocks * _SLOTS), np.int32)
-        self.share = np.tile(np.array([1, 1, 6], np.int64), (blocks * 64, 1))
-        # Counts by block and by the ids that any block of the call has had, ascending; column 0 is for all others.
-        self.active, self.column = np.zeros(0, np.int64), np.zeros(65536, np.int64)
-        self.count = np.zeros((blocks, 1), np.int64)
+    """Order 2, the shares and order 0 of several blocks of one shape; lane l belongs to block l // lanes."""
+
+    def __init__(self, blocks: int, lanes: int):
+        self.blocks, self.block = blocks, np.repeat(np.arange(blocks), lanes)
+        self.slots, self.rows, self.shares, self.ids = (self.block * n for n in (_SLOTS, _IDS, _ROWS, _IDS + 1))
+        self.last = np.zeros(blocks * _SLOTS, np.int32)  # the id that came last, above its 16 bits how sure it is
+        self.share = np.tile(_first_shares(), (blocks, 1))
+        self.count = np.zeros((blocks, _IDS + 1), np.int64)
+        self.by_id = np.zeros(self.count.size, np.int64)
+        self._share_tables()
+        self._id_tables()
+
+    def _share_tables(self) -> None:
+        part = self.share / self.share.sum(axis=1, keepdims=True)
+        first = np.clip(np.floor(part[:, 0] * _SHARES), 1, _SHARES - 2)
+        self.two, self.one = first, np.clip(np.floor((part[:, 0] + part[:, 1]) * _SHARES), first + 1, _SHARES - 1)
+        edges = np.stack([np.zeros(len(first)), self.two, self.one, np.full(len(first), float(_SHARES))], axis=1)
+        self.upto, self.width = edges[:, :3].ravel(), np.diff(edges, axis=1).ravel()
+
+    def _id_tables(self) -> None:
+        """Entry of an id: itself, above 17 bits where it starts among the block's ids, above 20 more its count."""
+        # An escape weighs as much as the ids that came once.
+        self.count[:, _IDS] = np.maximum(1, (self.count[:, :_IDS] == 1).sum(axis=1))
+        flat = self.count.ravel()
+        at = flat.nonzero()[0]
+        self.seen, block = flat[at], at // (_IDS + 1)
+        self.total = self.count.sum(axis=1)
+        begin = np.cumsum(self.total) - self.total
+        start = np.cumsum(self.seen) - self.seen - begin[block]
+        self.by_id[at] = self.entry = (at - block * (_IDS + 1)) | start << 17 | self.seen << 37
+
+    def context(self, one: np.ndarray, two: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(slot of order 2, what it holds, row of shares) of ids before, by lane, and the kinds of their rows of order 1."""
+        slot = self.slots + ((two * 40503 + one * 25173) & (_SLOTS - 1))
+        held = self.last.take(slot)
+        return slot, held, self.shares + (held >> 16) * (_OFTEN * _VARIED) + kind
+
+    def learn(self, ids: np.ndarray, slot: np.ndarray, share: np.ndarray, part: np.ndarray) -> None:
+        """Order 2 and the shares, from arrays of steps x lanes."""
+        ids, slot, share, part = (v.ravel() for v in (ids, slot, share, part))
+        self.share += np.bincount(share * 3 + part, minlength=self.share.size).reshape(self.share.shape)
+        sure = self.last.take(slot) >> 16
+        # Of several in one slot, the one written last holds.
+        self.last[slot] = (np.where(part == 0, np.minimum(sure + 1, _SURE - 1), 1) << 16) + ids
+        self._share_tables()
+
+    def learn_ids(self, ids: np.ndarray) -> None:
+        self.count += np.bincount((self.ids + ids).ravel(), minlength=self.count.size).reshape(self.count.shape)
+        self._id_tables()
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal ones begin."""
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return new.nonzero()[0]
+
+
+def _kinds(size: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """How often and how variedly rows of order 1 were seen."""
+    return np.searchsorted(_EDGES, size, "right") * _VARIED + np.minimum(kinds * _VARIED // np.maximum(size, 1), _VARIED - 1)
+
+
+class _Followers:
+    """Order 1 for a decoder: the ids that followed each id, in rows beside those of order 0."""
+
+    def __init__(self, model: _Models):
+        self.model, none = model, model.blocks * (_IDS + 1)
+        # Block, id before and id of all that was learnt, sorted.
+        self.pairs = np.zeros(0, np.int64)
+        # Rows of entries: an id's followers, then a block's ids, then one that costs nothing.
+        self.zero, self.none = model.blocks * _IDS + model.block, none
+        self.low, self.size = np.zeros((2, none + 1), np.int32)
+        self.kind = np.zeros(model.blocks * _IDS, np.int32)
         self._tables()
 
     def _tables(self) -> None:
-        upto = np.cumsum(self.count, axis=1)
-        self.before, self.seen = upto - self.count, upto[:, -1]
-        # An escape weighs as much as new ids did: more while many are.
-        self.escape = 1 + (self.count > 0).sum(axis=1) // 8
-        self.flat_count, self.flat_before = self.count.ravel(), self.before.ravel()
-        self.flat_ids = np.repeat(np.tile(np.concatenate([[0], self.active]).astype(np.uint16), self.blocks), self.flat_count)
-        self.ids_at = np.cumsum(self.seen) - self.seen
-        self.share_sum = self.share.cumsum(axis=1)
-
-    def contexts(self, one: np.ndarray, two: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(id by order 1, id by order 2, row of shares, context 1, context 2)."""
-        base = block * _SLOTS
-        at1 = base + ((one * 25173) & (_SLOTS - 1))
-        at2 = base + ((two * 40503 + one * 25173) & (_SLOTS - 1))
-        a, b = self.last1[at1], self.last2[at2]
-        return a & 0xFFFF, b & 0xFFFF, block * 64 + ((b >> 16) * 8 + (a >> 16)), at1, at2
-
-    def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        """ids, and the ids before them: arrays of steps x lanes."""
-        block = np.broadcast_to(self.block, ids.shape).ravel()
-        ids, one, two = ids.ravel(), one.ravel(), two.ravel()
-        p1, p2, row, at1, at2 = self.contexts(one, two, block)
-        hit1, hit2 = p1 == ids, p2 == ids
-        part = np.where(hit2, 0, np.where(hit1, 1, 2))
-        self.share += np.bincount(row * 3 + part, minlength=self.share.size).reshape(self.share.shape)
-        for hit, at, last in ((hit1, at1, self.last1), (hit2, at2, self.last2)):
-            run = np.where(hit, np.minimum((last[at] >> 16) + 1, 7), 0)
-            last[at] = (run << 16) + ids  # of several, the one written last holds
-        there = np.bincount(ids, minlength=65536) > 0
-        if (there & (self.column == 0)).any():
-            there[self.active] = True
-            active = np.flatnonzero(there)
-            count = np.zeros((self.blocks, len(active) + 1), np.int64)
-            count[:, np.searchsorted(active, self.active) + 1] = self.count[:, 1:]
-            self.active, self.count = active, count
-            self.column[active] = np.arange(len(active)) + 1
-        width = self.count.shape[1]
-        self.count += np.bincount(block * width + self.column[ids], minlength=self.count.size).reshape(self.count.shape)
+        """An entry is there as often as it counts, so that a place in a row leads to it."""
+        k, model = self.pairs, self.model
+        run = _starts(k)
+        times, keys = np.diff(run, append=len(k)), k[run]
+        head = _starts(keys >> 16)
+        rows, low = keys[head] >> 16, run[head]
+        size, kinds = np.diff(low, append=len(k)), np.diff(head, append=len(run))
+        self.low[rows], self.size[rows], self.kind[rows] = low, size, _kinds(size, kinds)
+        entry = (keys & (_IDS - 1)) | (run - np.repeat(low, kinds)) << 17 | times << 37
+        own = slice(model.blocks * _IDS, -1)
+        self.low[own], self.size[own] = len(k) + np.cumsum(model.total) - model.total, model.total
+        self.entries = np.concatenate([np.repeat(entry, times), np.repeat(model.entry, model.seen), [1 << 37]])
+        self.low[-1], self.size[-1] = len(self.entries) - 1, 1
+
+    def learn(self, ids: np.ndarray, one: np.ndarray) -> None:
+        self.pairs = np.concatenate([self.pairs, np.sort((((self.model.rows + one) << 16) + ids).ravel())])
+        self.pairs.sort(kind="stable")  # merges the two
         self._tables()
 
-    def cell(self, block: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return block * self.count.shape[1] + self.column[ids]
+
+def _followers(model: _Models, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, 32 times the size of the row plus its kind) that _Followers will have of each id but the first two rows; entry 0: none.
+
+    All ids are sorted once. From the last stretch to the first, what its model knows is counted along that order.
+    """
+    steps, lanes = len(ids) - 2, ids.shape[1]
+    bits = (steps * lanes).bit_length()
+    asked = model.rows + ids[1:-1]
+    asked <<= 16
+    asked += ids[2:]
+    asked <<= bits
+    asked = asked.ravel()
+    asked |= np.arange(steps * lanes)
+    asked.sort()
+    entry, size = np.zeros(steps * lanes, np.int64), np.zeros(steps * lanes, np.int32)
+    for first in reversed([c for c in _COUNT_AT if c < steps]):
+        place, key = asked & ((1 << bits) - 1), asked >> bits
+        known = place < first * lanes
+        group = _starts(key)
+        keys = key[group]
+        head = _starts(keys >> 16)
+        upto = np.zeros(len(asked) + 1, np.int32)
+        np.cumsum(known, out=upto[1:])
+        low = upto[group].astype(np.int64)
+        times, row_low = np.diff(low, append=upto[-1]), low[head]
+        row_size, groups = np.diff(row_low, append=upto[-1]), np.diff(head, append=len(group))
+        row = (row_size << 5 | _kinds(row_size, np.add.reduceat(times > 0, head, dtype=np.int64))).astype(np.int32)
+        of_group = np.where(times > 0, (keys & (_IDS - 1)) | (low - np.repeat(row_low, groups)) << 17 | times << 37, 0)
+        asking = ~known
+        mine, there = np.repeat(np.arange(len(group), dtype=np.int32), np.diff(group, append=len(asked)))[asking], place[asking]
+        entry[there], size[there] = of_group[mine], np.repeat(row, groups)[mine]
+        asked = asked[known]
+    return entry.reshape(steps, lanes), size.reshape(steps, lanes)
 
 
-def _before(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The id before each id and the one before that, 0 where a lane begins; steps x lanes."""
-    one, two = np.zeros_like(lanes), np.zeros_like(lanes)
-    one[1:], two[2:] = lanes[:-1], lanes[:-2]
-    return one, two
+def _stretches(steps: int) -> list[tuple[int, int, bool]]:
+    """(first, end, whether counts are learnt at the end) of the steps between which nothing is learnt."""
+    cuts = sorted({s for s in (*_COUNT_AT, *range(64, steps, 64)) if s < steps} | {steps})
+    return [(a, b, b in _COUNT_AT) for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 class _Encoder:
-    def __init__(self, steps: int, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
-        self.out = np.zeros((lanes, 3 * steps + 4), np.int64)
-        self.flat, self.base, self.at = self.out.ravel(), np.arange(lanes) * (3 * steps + 4), np.zeros(lanes, np.int64)
-
-    def put(self, lanes, start, size, total) -> None:
-        """lanes: indices, or a full slice."""
-        r = self.range[lanes] // total
-        low, width = self.low[lanes] + r * start, r * size
-        # One digit of 16 bits at most: width is at least 2 ** 16 here. Its carry is settled at the end.
-        short = width < _TOP
-        which = np.flatnonzero(short) if isinstance(lanes, slice) else lanes[short]
-        self.flat[self.base[which] + self.at[which]] = low[short] >> 32
-        self.at[lanes] += short
-        self.low[lanes] = np.where(short, (low & (_TOP - 1)) << 16, low)
-        self.range[lanes] = np.where(short, width << 16, width)
-
-    def end(self) -> list[bytes]:
+    def __init__(self, lanes: int):
+        self.low, self.range = np.zeros(lanes), np.full(lanes, _TOP)
+        self.lanes, self.digits = [], []
+
+    def shift(self) -> None:
+        short = (self.range < _DIGIT).nonzero()[0]
+        if len(short):
+            low = self.low[short]
+            digit = np.floor(low / _DIGIT)
+            # Its carry, the 25th bit, is settled at the end.
+            self.lanes.append(short)
+            self.digits.append(digit)
+            self.low[short] = (low - digit * _DIGIT) * _DIGIT
+            self.range[short] *= _DIGIT
+
+    def put(self, start: np.ndarray, size: np.ndarray, total) -> None:
+        unit = np.floor(self.range / total)
+        self.low += unit * start
+        self.range = unit * size
+        self.shift()
+
+    def put_id(self, lanes: np.ndarray, ids: np.ndarray) -> None:
+        """Plain ids of some lanes."""
+        unit = np.floor(self.range[lanes] / _IDS)
+        self.low[lanes] += unit * ids
+        self.range[lanes] = unit
+        self.shift()
+
+    def end(self) -> list[np.ndarray]:
+        """The digits of each lane."""
+        # The range holds a number whose further digits are all zero.
         every = np.arange(len(self.low))
-        for shift in (32, 16, 0):
-            self.out[every, self.at] = (self.low >> shift) & (0x1FFFF if shift == 32 else 0xFFFF)
-            self.at += 1
-        while (carry := self.out >> 16).any():
-            self.out &= 0xFFFF
-            self.out[:, :-1] += carry[:, 1:]
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.out, self.at, strict=True)]
+        lane = np.concatenate([*self.lanes, every])
+        digits = np.concatenate([*self.digits, np.ceil(self.low / _DIGIT)]).astype(np.int32)
+        digits = digits[np.argsort(lane.astype(np.uint16), kind="stable")]
+        while (carry := digits >> 24).any():  # never out of a lane's first digit
+            digits &= (1 << 24) - 1
+            digits[:-1] += carry[1:]
+        size = np.bincount(lane)
+        begin = np.cumsum(size) - size
+        used = np.maximum.reduceat(np.where(digits != 0, np.arange(1, len(digits) + 1), 0), begin)
+        return [digits[a:z] for a, z in zip(begin.tolist(), np.maximum(used, begin).tolist(), strict=True)]
 
 
-class _Decoder:
-    def __init__(self, streams: list[np.ndarray]):
-        size = np.array([len(s) for s in streams])
-        self.begin = np.cumsum(size + 3) - (size + 3)
-        # Three zero digits after each lane, so that looking ahead stays inside.
-        self.data = np.concatenate([np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)]) for s in streams])
-        self.value = (self.data[self.begin] << 32) + (self.data[self.begin + 1] << 16) + self.data[self.begin + 2]
-        self.at, self.range = self.begin + 3, np.full(len(streams), (1 << 48) - 1, np.int64)
-
-    def slot(self, lanes, total):
-        self.unit = self.range[lanes] // total
-        return np.minimum(self.value[lanes] // self.unit, total - 1)
-
-    def take(self, lanes, start, size) -> None:
-        value, width = self.value[lanes] - self.unit * start, self.unit * size
-        short = width < _TOP
-        at = self.at[lanes]
-        digit = self.data[np.minimum(at, len(self.data) - 1)]
-        self.value[lanes] = np.where(short, (value << 16) + digit, value)
-        self.range[lanes] = np.where(short, width << 16, width)
-        self.at[lanes] = at + short
+def _encode_steps(model: _Models, coder: _Encoder, ids: np.ndarray, entry: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Codes all rows of ids but the first two, which are the ids before; returns what the model learns from."""
+    steps, lanes = len(ids) - 2, ids.shape[1]
+    slot, held, share = model.context(ids[1:-1], ids[:-2], size & 31)
+    x = ids[2:]
+    part = np.where(entry > 0, np.int8(1), np.int8(2))
+    part[(held & 0xFFFF) == x] = 0
+    entry, total = np.where(part == 1, entry, 1 << 37).ravel(), np.where(part == 1, (size >> 5).astype(float), 1.0)
+    zeroth = (part == 2).ravel().nonzero()[0]
+    lane = zeroth % lanes
+    by_id = model.by_id[model.ids[lane] + x.ravel()[zeroth]]
+    new = by_id == 0
+    by_id[new] = model.by_id[model.ids[lane[new]] + _IDS]
+    entry[zeroth], total.reshape(-1)[zeroth] = by_id, model.total[model.block[lane]]
+    entry = entry.reshape(steps, lanes)
+    start, count = ((entry >> 17) & 0xFFFFF).astype(float), (entry >> 37).astype(float)
+    which = share * 3 + part
+    upto, width = model.upto.take(which), model.width.take(which)
+    new = zeroth[new]
+    new = np.split(new, np.searchsorted(new, np.arange(1, steps) * lanes))
+    for k in range(steps):
+        coder.put(upto[k], width[k], _SHARES)
+        coder.put(start[k], count[k], total[k])
+        if len(new[k]):
+            which = new[k] - k * lanes
+            coder.put_id(which, x[k, which])
+    return slot, share, part
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """One record for each array of 1 to BLOCK_IDS ids."""
-    n = len(blocks)
-    steps = -(-max(len(b) for b in blocks) // LANES)
-    # Shorter blocks are filled up with id 0, as many as the others; the count in the head cuts them off.
-    padded = np.zeros((n, LANES * steps), np.int64)
-    for row, b in zip(padded, blocks, strict=True):
-        row[: len(b)] = b
-    ids = np.ascontiguousarray(padded.reshape(n * LANES, steps).T)
-    one, two = _before(ids)
-    model, coder, learnt, every = _Models(n), _Encoder(steps, n * LANES), 0, slice(None)
-    block = model.block
-    for step in range(steps):
-        if step in _LEARN:
-            model.learn(ids[learnt:step], one[learnt:step], two[learnt:step])
-            learnt = step
-        x = ids[step]
-        p1, p2, row, _, _ = model.contexts(one[step], two[step], block)
-        hit2 = p2 == x
-        part = np.where(hit2, 0, np.where(p1 == x, 1, 2))
-        share = model.share.ravel()[row * 3 + part]
-        upto = model.share_sum.ravel()[row * 3 + part]
-        coder.put(every, upto - share, share, model.share_sum[row, 2])
-        rest = np.flatnonzero(part == 2)
-        at = model.cell(block[rest], x[rest])
-        seen, escape, count = model.seen[block[rest]], model.escape[block[rest]], model.flat_count[at]
-        new = count == 0
-        coder.put(rest, np.where(new, seen, model.flat_before[at]), np.where(new, escape, count), seen + escape)
-        if new.any():
-            lanes = rest[new]
-            coder.put(lanes, x[lanes], 1, 65536)
-    streams = coder.end()
-    out = []
+def _encode_shape(blocks: list[np.ndarray]) -> list[bytes]:
+    """Blocks of as many ids each."""
+    n, lanes = len(blocks), lanes_of(len(blocks[0]))
+    steps = -(-len(blocks[0]) // lanes)
+    # Two rows of zeros come first, so that the ids before are there too. Lanes are filled up with
+    # id 0; the count in the head cuts that off.
+    ids = np.zeros((steps + 2, n * lanes), np.int64)
+    for k, b in enumerate(blocks):
+        ids[2:, k * lanes : (k + 1) * lanes] = np.concatenate([b, np.zeros(steps * lanes - len(b), b.dtype)]).reshape(lanes, steps).T
+    slots, shares, parts = np.zeros(ids.shape, np.int32), np.zeros(ids.shape, np.int32), np.zeros(ids.shape, np.int8)
+    model, coder, counted = _Models(n, lanes), _Encoder(n * lanes), 0
+    entry, size = _followers(model, ids)
+    for a, z, learn in _stretches(steps):
+        for at in range(a, z, _AT_ONCE):  # stays within the cache
+            to = slice(at, min(z, at + _AT_ONCE))
+            slots[to], shares[to], parts[to] = _encode_steps(model, coder, ids[to.start : to.stop + 2], entry[to], size[to])
+        if z < steps:
+            model.learn(ids[a + 2 : z + 2], slots[a:z], shares[a:z], parts[a:z])
+            if learn:
+                model.learn_ids(ids[counted + 2 : z + 2])
+                counted = z
+    streams, out = coder.end(), []
     for k, b in enumerate(blocks):
-        mine = streams[k * LANES : (k + 1) * LANES]
-        body = struct.pack(f"<I{LANES}I", steps, *[len(s) // 2 for s in mine]) + b"".join(mine)
+        mine = streams[k * lanes : (k + 1) * lanes]
+        digits = np.concatenate(mine).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        body = struct.pack(f"<I{lanes}H", lanes, *map(len, mine)) + digits
+        if len(body) > 4 + 2 * len(b):
+            body = bytes(4) + np.asarray(b, "<u2").tobytes()
         out.append(_HEAD.pack(MAGIC, len(b), zlib.crc32(np.asarray(b, "<u4").tobytes()), zlib.crc32(body)) + body)
     return out
 
 
+def _of_one_size(sizes: list[int]) -> list[list[int]]:
+    """The numbers of blocks of one size, _BLOCKS_AT_ONCE at most together."""
+    by_size: dict[int, list[int]] = {}
+    for k, size in enumerate(sizes):
+        by_size.setdefault(size, []).append(k)
+    return [w[a : a + _BLOCKS_AT_ONCE] for w in by_size.values() for a in range(0, len(w), _BLOCKS_AT_ONCE)]
+
+
+def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+    """One record for each array of 1 to BLOCK_IDS ids; those of one length are coded together."""
+    out: dict[int, bytes] = {}
+    for which in _of_one_size([len(b) for b in blocks]):
+        out.update(zip(which, _encode_shape([blocks[k] for k in which]), strict=True))
+    return [out[k] for k in range(len(blocks))]
+
+
+class _Decoder:
+    def __init__(self, streams: list[np.ndarray]):
+        # Two zero digits after each lane; the second is read as often as it takes.
+        ends = np.cumsum([len(s) + 2 for s in streams])
+        self.data, self.end = np.zeros(int(ends[-1])), ends - 1
+        self.at = np.concatenate([[0], ends[:-1]])
+        for a, s in zip(self.at.tolist(), streams, strict=True):
+            self.data[a : a + len(s)] = s
+        self.value = self.data[self.at] * _DIGIT + self.data[self.at + 1]
+        self.at, self.range = self.at + 2, np.full(len(streams), _TOP)
+
+    def shift(self) -> None:
+        short = (self.range < _DIGIT).nonzero()[0]
+        if len(short):
+            at = np.minimum(self.at[short], self.end[short])
+            self.value[short] = self.value[short] * _DIGIT + self.data[at]
+            self.range[short] *= _DIGIT
+            self.at[short] = at + 1
+
+
+def _decode_shape(records: list[bytes], size: int) -> list[np.ndarray]:
+    """Blocks of size ids each, none of which is plain."""
+    n, (lanes,) = len(records), struct.unpack_from("<I", records[0], _HEAD.size)
+    steps, streams = -(-size // lanes), []
+    for r in records:
+        ends = np.cumsum(np.frombuffer(r, "<u2", lanes, _HEAD.size + 4), dtype=np.int64)
+        raw = np.frombuffer(r, np.uint8, 3 * int(ends[-1]), _HEAD.size + 4 + 2 * lanes).reshape(-1, 3)
+        streams += np.split(raw @ np.array([1, 1 << 8, 1 << 16]), ends[:-1])
+    model, coder, counted = _Models(n, lanes), _Decoder(streams), 0
+    rows = _Followers(model)
+    ids = np.zeros((steps + 2, n * lanes), np.int64)  # as in _encode_shape()
+    slots, shares, parts = np.zeros(ids.shape, np.int32), np.zeros(ids.shape, np.int32), np.zeros(ids.shape, np.int8)
+    for a, z, learn in _stretches(steps):
+        for k in range(a, z):
+            row = model.rows + ids[k + 1]
+            slot, held, share = model.context(ids[k + 1], ids[k], rows.kind.take(row))
+            unit = np.floor(coder.range / _SHARES)
+            two, one = unit * model.two.take(share), unit * model.one.take(share)
+            not_two, not_one = coder.value >= two, coder.value >= one
+            start = np.where(not_one, one, np.where(not_two, two, 0.0))
+            coder.range = np.where(not_one, unit * _SHARES, np.where(not_two, one, two)) - start
+            coder.value = coder.value - start
+            coder.shift()
+            at = np.where(not_one, rows.zero, np.where(not_two, row, rows.none))
+            unit = np.floor(coder.range / rows.size.take(at))
+            entry = rows.entries.take(rows.low.take(at) + (coder.value / unit).astype(np.int64), mode="clip")
+            coder.value = coder.value - unit * ((entry >> 17) & 0xFFFFF)
+            coder.range = unit * (entry >> 37)
+            coder.shift()
+            x = np.where(not_two, entry & 0x1FFFF, held & 0xFFFF)
+            new = (x == _IDS).nonzero()[0]
+            if len(new):
+                unit = np.floor(coder.range[new] / _IDS)
+                x[new] = got = np.floor(coder.value[new] / unit).astype(np.int64)
+                coder.value[new] -= unit * got
+                coder.range[new] = unit
+                coder.shift()
+            ids[k + 2], slots[k], shares[k] = x, slot, share
+            np.add(not_two, not_one, out=parts[k], dtype=np.int8)
+        if z < steps:
+            model.learn(ids[a + 2 : z + 2], slots[a:z], shares[a:z], parts[a:z])
+            if learn:
+                model.learn_ids(ids[counted + 2 : z + 2])
+                rows.learn(ids[counted + 2 : z + 2], ids[counted + 1 : z + 1])
+                counted = z
+    ids = ids[2:]
+    return list(ids.T.reshape(n, lanes * steps)[:, :size].astype(np.uint32))
+
+
 def decode_blocks(records: list[bytes]) -> list[np.ndarray]:
     """The ids of each record; raises ValueError where a checksum does not hold."""
-    done: dict[int, np.ndarray] = {}
-    by_steps: dict[int, list[int]] = {}
+    sizes = []
     for k, r in enumerate(records):
-        magic, _, _, crc = _HEAD.unpack_from(r)
+        magic, size, _, crc = _HEAD.unpack_from(r)
         if magic != MAGIC or zlib.crc32(memoryview(r)[_HEAD.size :]) != crc:
             raise ValueError(f"block {k}: damaged")
-        by_steps.setdefault(struct.unpack_from("<I", r, _HEAD.size)[0], []).append(k)
-    for steps, which in by_steps.items():
-        streams, at0 = [], _HEAD.size + 4 + 4 * LANES
-        for k in which:
-            sizes = struct.unpack_from(f"<{LANES}I", records[k], _HEAD.size + 4)
-            digits = np.frombuffer(records[k], "<u2", sum(sizes), at0)
-            streams += np.split(digits, np.cumsum(sizes)[:-1])
-        n = len(which)
-        model, coder, learnt, every = _Models(n), _Decoder(streams), 0, slice(None)
-        block, ids = model.block, np.zeros((steps, n * LANES), np.int64)
-        zero = np.zeros(n * LANES, np.int64)
-        for step in range(steps):
-            if step in _LEARN:
-                one, two = _before(ids[:step])
-                model.learn(ids[learnt:step], one[learnt:], two[learnt:])
-                learnt = step
-            one, two = ids[step - 1] if step else zero, ids[step - 2] if step > 1 else zero
-            p1, p2, row, _, _ = model.contexts(one, two, block)
-            a, b, total = model.share_sum[row].T
-            slot = coder.slot(every, total)
-            part = (slot >= a).astype(np.int64) + (slot >= b)
-            share = model.share.ravel()[row * 3 + part]
-            coder.take(every, model.share_sum.ravel()[row * 3 + part] - share, share)
-            x = np.where(part == 0, p2, p1).astype(np.int64)
-            rest = np.flatnonzero(part == 2)
-            own = block[rest]
-            seen, escape = model.seen[own], model.escape[own]
-            slot = coder.slot(rest, seen + escape)
-            new = slot >= seen
-            if len(model.flat_ids):
-                got = model.flat_ids[np.minimum(model.ids_at[own] + slot, len(model.flat_ids) - 1)].astype(np.int64)
-            else:
-                got = np.zeros(len(rest), np.int64)
-            at = model.cell(own, got)
-            coder.take(rest, np.where(new, seen, model.flat_before[at]), np.where(new, escape, model.flat_count[at]))
-            if new.any():
-                lanes = rest[new]
-                got[new] = coder.slot(lanes, 65536)
-                coder.take(lanes, got[new], 1)
-            x[rest] = got
-            ids[step] = x
-        flat = ids.T.reshape(n, LANES * steps)
-        for k, row in zip(which, flat, strict=True):
-            _, size, crc, _ = _HEAD.unpack_from(records[k])
-            row = row[:size].astype(np.uint32)
-            if zlib.crc32(row.astype("<u4").tobytes()) != crc:
-                raise ValueError(f"block {k}: ids do not match their checksum")
-            done[k] = row
+        sizes.append(size)
+    coded = [k for k, r in enumerate(records) if struct.unpack_from("<I", r, _HEAD.size)[0]]
+    done = {k: np.frombuffer(r, "<u2", sizes[k], _HEAD.size + 4).astype(np.uint32) for k, r in enumerate(records) if k not in coded}
+    for which in _of_one_size([sizes[k] for k in coded]):
+        which = [coded[k] for k in which]
+        done.update(zip(which, _decode_shape([records[k] for k in which], sizes[which[0]]), strict=True))
+    for k, ids in done.items():
+        if zlib.crc32(ids.astype("<u4").tobytes()) != _HEAD.unpack_from(records[k])[2]:
+            raise ValueError(f"block {k}: ids do not match their checksum")
     return [done[k] for k in range(len(records))]

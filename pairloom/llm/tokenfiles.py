@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,19 +36,43 @@ from pairloom.llm.rangecoder import BLOCK_IDS, decode_blocks, encode_blocks
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Blocks that are coded together, and after which a file ends with the document at hand.
-FILE_BLOCKS = 32
-_MAGIC, _VERSION = 0x4B544C50, 1
+FILE_BLOCKS = 8
+#: Characters of texts that are tokenized at once.
+_CHUNK_CHARS = 4_000_000
+_MAGIC, _VERSION = 0x4B544C50, 2
 _HEAD = struct.Struct("<IIQII")
-#: Where a space does not begin a piece of its own: before white space, and at the end.
-_UNEVEN = re.compile(r" (?:\s|\Z)")
-#: A word of Latin letters and the ASCII marks after it. The pre-tokenizer takes the two apart, and " word" is one part.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+#: A word of Latin letters, with a space before it or not, which the pre-tokenizer takes as one part.
+_PLAIN = "^ ?[A-Za-zÀ-ÖØ-öø-ɏ]+$"
 #: Pieces that a worker remembers; then it forgets all and starts anew.
-_REMEMBERED = 500_000
+_REMEMBERED = 700_000
 #: By path, so that a worker's tasks share what it remembers.
 _TOKENIZERS: dict[str, PieceTokenizer] = {}
 
 
+def _classes() -> bytes:
+    """For each byte the sum of what holds for it in UTF-8."""
+    out = [0] * 256
+    for kind, *ranges in (
+        (_BREAK, (0x0A, 0x0A), (0x20, 0x20)),
+        (_LINE_END, (0x0A, 0x0A)),
+        # Begins a character that is surely not white space, which is below 0x21 or begins with C2, E1, E2 or E3.
+        (_SOLID, (0x21, 0x7E), (0xC3, 0xE0), (0xE4, 0xF4)),
+        (_MARK, (0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)),
+        (_LETTER, (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)),
+        # After the lead byte C3: letters, all but the signs of multiplication and division.
+        (_LATIN, (0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF)),
+        (_LATIN_LEAD, (0xC3, 0xC3)),
+    ):
+        for a, z in ranges:
+            for b in range(a, z + 1):
+                out[b] |= kind
+    return bytes(out)
+
+
+_BREAK, _LINE_END, _SOLID, _MARK, _LETTER, _LATIN, _LATIN_LEAD = (1 << k for k in range(7))
+_CLASSES = _classes()
+
+
 def _byte_characters() -> dict[int, str]:
     """The character by which a byte-level vocabulary writes each byte: itself if printable, else the next from 256 on."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -56,13 +80,29 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+def _piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces of texts begin, ascending; data: their UTF-8 bytes, starts: where non-empty ones begin.
+
+    A byte-level pre-tokenizer ends a part at each of these places, whatever comes before or after:
+    where the last white space of several begins, after a line end that is this white space, and
+    where marks follow a letter or digit.
+    """
+    kind = np.frombuffer(data.tobytes().translate(_CLASSES), np.uint8)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[: len(data) - 1] = (kind[:-1] & _BREAK) & (kind[1:] >> 2 & 1)  # _SOLID is the third bit
+    cut[1:] |= cut[:-1] & (kind & _LINE_END != 0)
+    letter = kind & _LETTER != 0
+    letter[1:] |= (kind[1:] & _LATIN != 0) & (kind[:-1] & _LATIN_LEAD != 0)
+    cut[1:-1] |= (kind[1:] & _MARK != 0) & letter[:-1]
+    cut[starts] = True
+    return cut[:-1].nonzero()[0]
+
+
 class PieceTokenizer:
-    """The ids of the tokenizers library, computed once for each space-separated piece of a text.
+    """The ids of the tokenizers library, computed once for each piece of text between places where its pre-tokenizer cuts.
 
-    The byte-level pre-tokenizer never joins characters across a space that follows and precedes
-    other characters than white space, so such pieces are independent. Texts with other spaces or
-    with an added token's string go to the library whole, as do all if the file's tokenizer is of
-    another kind.
+    Batches with an added token's string in a text go to the library whole, as do all if the file's
+    tokenizer is of another kind.
     """
 
     def __init__(self, path: str):
@@ -71,68 +111,101 @@ class PieceTokenizer:
         from tokenizers.pre_tokenizers import Split
 
         self.library = Tokenizer.from_file(path)
+        if self.library.get_vocab_size() > 65536:
+            raise ValueError("ids of 65536 and more do not fit the files")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.bytes = _byte_characters()
-        # The same model on words that are written in the vocabulary's characters already.
-        self.words = Tokenizer.from_file(path)
-        self.words.pre_tokenizer = Split(self.bytes[0x20], "merged_with_next")
-        self.begins = np.zeros(65536, bool)
-        self.begins[[i for t, i in self.library.get_vocab().items() if t.startswith(self.bytes[0x20]) and i < 65536]] = True
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        characters = _byte_characters()
+        self.written = np.array([ord(characters[b]) for b in range(256)], "<u4")
+        # The same model on words that are written in the vocabulary's characters already, after spaces or between line ends.
+        self.words, self.marked = {}, {}
+        for mark, how in ((" ", "merged_with_next"), ("\n", "isolated")):
+            character = characters[ord(mark)]
+            self.words[mark] = Tokenizer.from_file(path)
+            self.words[mark].pre_tokenizer = Split(character, how)
+            self.marked[mark] = np.zeros(65536, bool)
+            self.marked[mark][[i for t, i in self.library.get_vocab().items() if t.startswith(character)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        # The number of a piece; by number, where its ids begin in pool. The last one ends the pool.
+        self.known: dict[str, int] = {}
+        self.pool, self.at = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.int64)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, words: list[str]) -> list[bytes]:
-        """The ids of each word of _PLAIN letters after a space, in one call; a space is in no other place of a token."""
-        written = "".join([" " + w for w in words]).encode().decode("latin-1").translate(self.bytes)
-        ids = np.array(self.words.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u2")
-        at = np.flatnonzero(self.begins[ids])
-        if len(at) != len(words):  # not so for this tokenizer
-            return self._library([" " + w for w in words])
-        raw, ends = ids.tobytes(), [*(2 * at).tolist(), 2 * len(ids)]
-        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    def _plain(self, words: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each word's begin) of words of _PLAIN, in one call; all begin with a space, or none, as mark says."""
+        if not words:
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        joined = "".join(words) if mark == " " else "\n".join(words)
+        written = self.written[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.words[mark].encode_batch_fast([written], add_special_tokens=False)[0].ids, np.uint16)
+        # A token has the mark in no other place than at its beginning.
+        at = self.marked[mark][ids].nonzero()[0]
+        if mark == " ":
+            return ids, at
+        return np.delete(ids, at), np.concatenate([[0], at - np.arange(len(at))])
 
     def _learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of pieces after a space."""
-        later, plain, rest = self.later, [], []
-        for p in pieces:
-            if m := _PLAIN.fullmatch(p):
-                plain.append((p, *m.groups()))
-            else:
-                rest.append(p)
-        words = [w for w in {w for _, w, _ in plain} if w not in later]
-        later.update(zip(words, self._plain(words), strict=True))
-        tails = list({t for _, _, t in plain})
-        ids = dict(zip(tails, self._library(tails), strict=True))
-        later.update((p, later[w] + ids[t]) for p, w, t in plain)
-        later.update(zip(rest, self._library([" " + p for p in rest]), strict=True))
+        """Remembers the ids of new pieces."""
+        is_plain = pc.match_substring_regex(pa.array(pieces, pa.string()), _PLAIN).to_pylist()
+        plain, rest = [p for p, y in zip(pieces, is_plain, strict=True) if y], [p for p, y in zip(pieces, is_plain, strict=True) if not y]
+        spaced, bare = [p for p in plain if p[0] == " "], [p for p in plain if p[0] != " "]
+        (ids, begins), (more, there) = self._plain(spaced, " "), self._plain(bare, "\n")
+        ids, begins, plain = np.concatenate([ids, more]), np.concatenate([begins, len(ids) + there]), spaced + bare
+        others = self._library(rest)
+        sizes = np.array([len(o) // 2 for o in others], np.int64)
+        begins = np.concatenate([begins, len(ids) + np.cumsum(sizes) - sizes])
+        ids = np.concatenate([ids, np.frombuffer(b"".join(others), "<u2")])
+        begins = np.append(begins, len(ids))
+        n = len(self.known)
+        base = self.at[n]
+        while len(self.at) < n + len(begins):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        while len(self.pool) < base + len(ids):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[base : base + len(ids)] = ids
+        self.at[n : n + len(begins)] = base + begins
+        self.known.update(zip([*plain, *rest], range(n, n + len(begins) - 1), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, u16 little-endian."""
-        out: list[bytes | None] = [None] * len(texts)
-        split = []
-        for n, text in enumerate(texts):
-            if not self.by_piece or _UNEVEN.search(text) or any(a in text for a in self.added):
-                out[n] = self._library([text])[0]
-            else:
-                head, *rest = text.split(" ")
-                split.append((n, head, rest))
-        for known in (self.first, self.later):
-            if len(known) > _REMEMBERED:
-                known.clear()
-        new = [h for h in {h for _, h, _ in split} if h not in self.first]
-        self.first.update(zip(new, self._library(new), strict=True))
-        self._learn([p for p in set().union(*[r for _, _, r in split]) if p not in self.later])
-        get = self.later.__getitem__
-        for n, head, rest in split:
-            out[n] = self.first[head] + b"".join(map(get, rest))
-        return out
+        ids, sizes = self.encode_column(pa.array(texts, pa.string()))
+        return [x.astype("<u2").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many each has) of an array of strings without nulls."""
+        if not self.by_piece or any(pc.any(pc.match_substring(texts, a)).as_py() for a in self.added):
+            parts = self._library(texts.to_pylist())
+            return np.frombuffer(b"".join(parts), "<u2"), np.array([len(p) // 2 for p in parts], np.int64)
+        texts = texts.cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or offsets[-1] == offsets[0]:
+            return np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        starts = _piece_starts(data, offsets[:-1][offsets[1:] > offsets[:-1]])
+        cuts = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        pieces = pa.Array.from_buffers(pa.string(), len(starts), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
+        if len(self.known) > _REMEMBERED:
+            self._forget()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = list(map(self.known.get, distinct))
+        if None in number:
+            self._learn([p for p, k in zip(distinct, number, strict=True) if k is None])
+            number = list(map(self.known.__getitem__, distinct))
+        number = np.array(number, np.int64)[pieces.indices.to_numpy()]
+        begin = self.at[number]
+        size = self.at[number + 1] - begin
+        upto = np.cumsum(size)
+        ids = self.pool[np.repeat(begin - upto + size, size) + np.arange(upto[-1])]
+        upto = np.concatenate([[0], upto])
+        return ids, np.diff(upto[np.searchsorted(starts, offsets)])
 
 
 def tokenizer_at(path: str) -> PieceTokenizer:
@@ -141,24 +214,23 @@ def tokenizer_at(path: str) -> PieceTokenizer:
     return _TOKENIZERS[path]
 
 
-def pack_file(documents: list[tuple[int | None, np.ndarray]]) -> bytes:
-    """A file of documents (doc_id, ids)."""
-    ids = np.concatenate([d for _, d in documents])
+def pack_file(names: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
+    """A file of documents: their doc_ids, how many ids each has, all ids one after the other."""
     blocks = [ids[a : a + BLOCK_IDS] for a in range(0, len(ids), BLOCK_IDS)]
     records = [r for a in range(0, len(blocks), FILE_BLOCKS) for r in encode_blocks(blocks[a : a + FILE_BLOCKS])]
     index = b"".join(
         (
-            np.array([d or 0 for d, _ in documents], "<i8").tobytes(),
-            np.array([len(x) for _, x in documents], "<u8").tobytes(),
-            np.array([d is None for d, _ in documents], np.uint8).tobytes(),
+            np.array([d or 0 for d in names], "<i8").tobytes(),
+            sizes.astype("<u8").tobytes(),
+            np.array([d is None for d in names], np.uint8).tobytes(),
             np.array([len(r) for r in records], "<u4").tobytes(),
         )
     )
-    return _HEAD.pack(_MAGIC, _VERSION, len(documents), len(records), zlib.crc32(index)) + index + b"".join(records)
+    return _HEAD.pack(_MAGIC, _VERSION, len(names), len(records), zlib.crc32(index)) + index + b"".join(records)
 
 
-def unpack_file(data: bytes) -> list[tuple[int | None, np.ndarray]]:
-    """The documents (doc_id, ids) of a file; raises ValueError if it is damaged."""
+def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """What pack_file() was given; raises ValueError if the file is damaged."""
     magic, version, n, blocks, crc = _HEAD.unpack_from(data)
     index = data[_HEAD.size : _HEAD.size + 17 * n + 4 * blocks]
     if (magic, version) != (_MAGIC, _VERSION) or zlib.crc32(index) != crc:
@@ -166,10 +238,9 @@ def unpack_file(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     names, sizes = np.frombuffer(index, "<i8", n), np.frombuffer(index, "<u8", n, 8 * n)
     null, lengths = np.frombuffer(index, np.uint8, n, 16 * n), np.frombuffer(index, "<u4", blocks, 17 * n)
     at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]) + _HEAD.size + len(index)
-    records = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    records = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     ids = np.concatenate([x for a in range(0, blocks, FILE_BLOCKS) for x in decode_blocks(records[a : a + FILE_BLOCKS])])
-    parts = np.split(ids, np.cumsum(sizes.astype(np.int64))[:-1])
-    return [(None if z else int(d), p) for d, z, p in zip(names, null, parts, strict=True)]
+    return [None if z else d for d, z in zip(names.tolist(), null.tolist(), strict=True)], sizes.astype(np.int64), ids
 
 
 def _store(folder: str, name: str, data: bytes) -> None:
@@ -185,37 +256,46 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
     """Writes all documents' ids to folder, a URI that all executors can write to; returns (file, documents, ids).
 
     Null texts count as empty: only their end id is written. Null ids come first. Repeated rows are
-    written as often as they occur, and rows with one id by their texts' hash. An empty table
-    writes no file. Only doc_id and text are read, so other columns may have any name.
+    written as often as they occur, and rows with one id in the order in which Spark reads them, so
+    that an id that many rows share does not meet in one task. A text of any length is tokenized
+    whole. An empty table writes no file. Only doc_id and text are read, so other columns may have
+    any name.
     """
     path = public_tokenizers.path(tokenizer)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_first(), F.col("row").asc()
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokenizer_at(path)
-        part, made = TaskContext.get().partitionId(), 0
-        end, held, size = np.array([end_id], "<u2"), [], 0
+        part, made, full = TaskContext.get().partitionId(), 0, FILE_BLOCKS * BLOCK_IDS
+        names, sizes, ids = [], np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
-        def flush() -> pa.RecordBatch:
-            nonlocal made, held, size
-            name = f"part-{part:06d}-{made:06d}.tokens"
-            _store(folder, name, pack_file(held))
-            made, done, held, size = made + 1, (name, len(held), size), [], 0
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in done], ["file", "documents", "ids"])
+        def flush(documents: int) -> pa.RecordBatch:
+            """Writes the first documents and keeps the others."""
+            nonlocal made, names, sizes, ids
+            name, size = f"part-{part:06d}-{made:06d}.tokens", int(sizes[:documents].sum())
+            _store(folder, name, pack_file(names[:documents], sizes[:documents], ids[:size]))
+            made, names, sizes, ids = made + 1, names[documents:], sizes[documents:], ids[size:]
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, documents, size)], ["file", "documents", "ids"])
 
         for b in batches:
-            for a in range(0, b.num_rows, 64):
-                some = b.slice(a, 64)
-                for d, raw in zip(some.column(0).to_pylist(), tokens.encode(some.column(1).to_pylist()), strict=True):
-                    held.append((d, np.concatenate([np.frombuffer(raw, "<u2"), end])))
-                    size += len(held[-1][1])
-                    if size >= FILE_BLOCKS * BLOCK_IDS:
-                        yield flush()
-        if held:
-            yield flush()
-
-    return materialise(rows.mapInArrow(run, "file string, documents long, ids long"), "token-manifest")
+            cuts = np.cumsum(pc.binary_length(b.column(1)).to_numpy()) // _CHUNK_CHARS
+            edges = [0, *(np.diff(cuts).nonzero()[0] + 1).tolist(), b.num_rows]
+            for a, z in zip(edges, edges[1:], strict=False):
+                new, size = tokens.encode_column(b.column(1).slice(a, z - a))
+                ends = np.cumsum(size + 1) - 1
+                with_ends, mine = np.full(len(new) + len(size), end_id, np.uint16), np.ones(len(new) + len(size), bool)
+                mine[ends] = False
+                with_ends[mine] = new
+                names += b.column(0).slice(a, z - a).to_pylist()
+                sizes, ids = np.concatenate([sizes, size + 1]), np.concatenate([ids, with_ends])
+                while len(ids) >= full:
+                    yield flush(int(np.searchsorted(np.cumsum(sizes), full)) + 1)
+        if names:
+            yield flush(len(names))
+
+    return materialise(rows.drop("row").mapInArrow(run, "file string, documents long, ids long"), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
@@ -229,19 +309,19 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, data in zip(b.column(0), b.column(1), strict=True):
-                found = unpack_file(data.as_py())
-                sizes = np.array([len(x) for _, x in found], np.int64)
+                documents, sizes, ids = unpack_file(data.as_py())
+                upto, raw = np.concatenate([[0], np.cumsum(sizes)]), memoryview(ids.astype("<u4")).cast("B")
+                at = (4 * upto).tolist()
                 cols = [
-                    pa.array([path.as_py().rpartition("/")[2]] * len(found)),
-                    pa.array(np.arange(len(found), dtype=np.int32)),
-                    pa.array([d for d, _ in found], pa.int64()),
-                    pa.array(np.cumsum(sizes) - sizes),
+                    pa.array([path.as_py().rpartition("/")[2]] * len(documents)),
+                    pa.array(np.arange(len(documents), dtype=np.int32)),
+                    pa.array(documents, pa.int64()),
+                    pa.array(upto[:-1]),
                     pa.array(sizes),
-                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for _, x in found], pa.int64()),
+                    pa.array([zlib.crc32(raw[a:z]) for a, z in zip(at, at[1:], strict=False)], pa.int64()),
                 ]
                 if with_ids:
-                    at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                    cols.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate([x for _, x in found]).astype(np.int32))))
+                    cols.append(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(folder)

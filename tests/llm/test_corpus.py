@@ -223,6 +223,26 @@ def test_range_coder_round_trip():
         rangecoder.decode_blocks([bytes(damaged)])
 
 
+def test_range_coder_sizes(docs):
+    import public_tokenizers
+    import zstandard
+
+    t = tokenfiles.tokenizer_at(public_tokenizers.path(tokenfiles.TOKENIZER))
+    sf = [r.text or "" for r in docs.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    ids = np.frombuffer(b"".join(t.encode(sf)), "<u2")
+    least = lambda x: len(zstandard.ZstdCompressor(19).compress(x.tobytes()))
+    full = [ids[a : a + rangecoder.BLOCK_IDS] for a in range(0, len(ids) - rangecoder.BLOCK_IDS, rangecoder.BLOCK_IDS)]
+    assert full and all(len(r) < 0.95 * least(x) for r, x in zip(rangecoder.encode_blocks(full), full, strict=True))
+    for n in (1, 100, 1025, 10_000, 61_440):
+        (record,) = rangecoder.encode_blocks([ids[:n]])
+        assert len(record) <= 2 * n + 20 and (n < 1000 or len(record) < least(ids[:n]))
+    noise = np.random.default_rng(1).integers(0, 65536, 5000).astype(np.uint16)
+    assert len(rangecoder.encode_blocks([noise])[0]) <= 20 + 2 * len(noise)
+    repeated = np.tile(ids[:5000], 52)[: rangecoder.BLOCK_IDS]
+    (record,) = rangecoder.encode_blocks([repeated])
+    assert (rangecoder.decode_blocks([record])[0] == repeated).all()
+
+
 def _ids(text):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -243,6 +263,13 @@ def test_token_files_equal_the_library(spark, docs, edge, empty):
     assert tokenfiles.round_trip(empty).count() == 0
 
 
+def test_token_files_with_one_hot_id(spark):
+    rows = [(7, f"text {i % 3} of one id", None, None, None, None, None, None) for i in range(4000)] + [(None, "x", None, None, None, None, None, None)] * 500 + [(9, None, None, None, None, None, None, None)]
+    got = tokenfiles.round_trip(spark.createDataFrame(rows, COLS)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 500 + [7] * 4000 + [9]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False)) and got[-1].n_tokens == 1
+
+
 def test_pieces_equal_the_library():
     import public_tokenizers
 
@@ -251,6 +278,8 @@ def test_pieces_equal_the_library():
     parts = ["a", "'s", " ", "\n", "  ", "\t", "1", "é", "!", "the ", " ", "　", "\x1c", "\x85", "<|endoftext|>", "'", "ll", "字", "😀", "́"]
     some = ["".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(2000)]
     assert t.encode(some) == t._library(some)
+    some = ["".join(r.choice([*parts, " é.", "×.", "x,", "\n\n", "9!", "don't", "É'S", "\xa0", "word"]) for _ in range(r.randint(0, 12))) for _ in range(3000)]
+    assert t.encode(some) == t._library(some)
 
 
 # --- 6 and 7: classifiers ---------------------------------------------------------------------
