@@ -1,9 +1,14 @@
 """Quality by a linear support vector machine over naive Bayes features (NB-SVM; Wang and Manning, 2012).
 
-Features say whether an n-gram occurs: words, and runs of one to three word shapes (case, digits,
-marks at the ends, length, whether the word repeats the one before). Each is scaled by the log of
-its share in good over its share in bad texts, and a hinge-loss classifier on them is fitted by
-dual coordinate descent (Hsieh et al., 2008). Margins are calibrated on texts that were set aside.
+Features say whether an n-gram occurs: words, pairs of words, and runs of one to three word shapes
+(case, digits, marks at the ends, length, whether the word repeats the one before). Each is scaled
+by the log of its share in good over its share in bad texts, and a hinge-loss classifier on them is
+fitted by dual coordinate descent (Hsieh et al., 2008). Margins are calibrated on texts that were
+set aside.
+
+Null, empty and white texts have one feature of their own; very long texts are read whole; equal
+texts have equal scores, so ties at the threshold stay or go together; repeated rows each get their
+own result; an empty table gives an empty result; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -59,7 +64,7 @@ class _Reader:
         one = shape * 2 + again
         two = one[:-1] * 8209 + one[1:]
         three = two[:-1] * 8209 + one[2:]
-        kinds = (word, one, two, three)
+        kinds = (word, one, two, three, word[:-1] * np.int64(0x2545F491) + word[1:])
         mixed = [((np.unique(k) * np.int64(0x9E3779B1) + n * 0x51ED27) * np.int64(0x85EBCA6B)) >> 20 for n, k in enumerate(kinds)]
         return np.unique(np.concatenate(mixed) & (2**_BITS - 1))
 
@@ -142,7 +147,10 @@ def score_quality(docs: DataFrame, model: QualityModel, folds: int = FOLDS, held
 
 
 def keep_good(docs: DataFrame, model: QualityModel, least: float = PREDICT_FROM) -> DataFrame:
-    """The rows of docs that score least or more, columns as they were; nothing is shuffled."""
+    """The rows of docs that score least or more, columns as they were, whatever their names; nothing is shuffled.
+
+    Rows with null texts or ids are judged like any other; repeated rows all stay or all go.
+    """
     at = docs.columns.index("text")
 
     def run(batches):
