@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,8 +15,10 @@ def fold(doc_id: str, folds: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, chars: int) -> list[tuple[int, str, int]]:
     """(doc_id, text, label) of up to rows documents of each class outside fold held, in hash order.
 
-    A class's texts end with the one that passes chars characters. Label rows that are null or
-    disagree about a document are left out; texts are given whole.
+    Of a class, texts are given whole until they have chars characters; what follows stays out, and
+    longer single texts do, so that under twice as many reach the driver. Label rows that are null
+    or disagree about a document are left out, and so are null texts; of several texts with one id
+    the one with the smallest hash is taken.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).filter("_label in (0, 1)")
     known = known.filter(fold("_id", folds) != held)
@@ -25,14 +27,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
     for value in (0, 1):  # rows is the bound of what is broadcast
         part = known.filter(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(rows).select("_id", "_label")
         picked = part if picked is None else picked.unionByName(part)
-    rows_ = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).filter("text is not null")
-    got = sorted(rows_.select("doc_id", "text", "_label").dropDuplicates(["doc_id"]).collect(), key=lambda r: (hash_order(r[0]), r[0]))
-    out, used = [], [0, 0]
-    for r in got:
-        if used[r[2]] <= chars:
-            used[r[2]] += len(r[1])
-            out.append(tuple(r))
-    return out
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).filter(F.length("text") <= chars)
+    texts = texts.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    # Two groups of up to rows rows.
+    before = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, -1)
+    texts = texts.select("_id", "t.text", "_label", F.coalesce(F.sum(F.length("t.text")).over(before), F.lit(0)).alias("_before"))
+    got = texts.filter(F.col("_before") < chars).select("_id", "text", "_label").collect()
+    return sorted((tuple(r) for r in got), key=lambda r: (hash_order(r[0]), r[0]))
 
 
 def hash_order(doc_id: int) -> int:

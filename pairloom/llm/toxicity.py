@@ -1,15 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary texts and one on the wording that sets
-toxic texts apart. Each window of a text is compressed with the ordinary dictionary alone and with
-both: what the toxic one saves is its distance. The largest savings, and over how many windows
-they were found, are calibrated to a probability on labelled texts that neither dictionary saw.
+A zstandard dictionary is trained on ordinary texts; the toxic one holds, after the same bytes, the
+windows of toxic texts whose wording sets these apart. Each window of a text is compressed with
+both, and the difference of the two lengths is its distance. The largest distances of a text, and
+how many there are, are calibrated to a probability on labelled texts that neither dictionary saw.
+
+Null, empty and white texts have no window and get the score that the calibration gives to none;
+very long texts are read window by window, whole; equal texts have equal scores; repeated rows each
+get their own; an empty table gives an empty result; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import random
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,10 @@ SAMPLE_ROWS, SAMPLE_CHARS = 3000, 12_000_000
 FOLDS, HELD_OUT = 4, 2
 PREDICT_FROM = 0.3
 WINDOW_WORDS = 8
-ORDINARY_BYTES, TOXIC_BYTES = 32_000, 1_200
+#: Bytes of the common part of the dictionaries, and of the toxic windows.
+ORDINARY_BYTES, TOXIC_BYTES = 32_000, 2_400
+#: Words of a toxic window in the dictionary, and bytes of the strings by which it is chosen.
+_PIECE_WORDS, _MER = 2, 5
 _LEVEL, _MIN_MATCH = 3, 4
 
 
@@ -34,9 +39,9 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _windows(words: list[bytes]) -> Iterator[bytes]:
-    for i in range(0, len(words), WINDOW_WORDS):
-        yield b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" "
+def _windows(words: list[bytes], size: int = WINDOW_WORDS) -> Iterator[bytes]:
+    for i in range(0, len(words), size):
+        yield b" " + b" ".join(words[i : i + size]) + b" "
 
 
 def _trained(size: int, samples: list[bytes]) -> bytes:
@@ -59,6 +64,54 @@ def _different(texts: list[list[bytes]]) -> list[list[bytes]]:
     return out
 
 
+def _mers(data: bytes) -> np.ndarray:
+    """The strings of _MER bytes of data, as numbers, by place."""
+    x = np.frombuffer(data, np.uint8).astype(np.int64)
+    n = max(0, len(x) - _MER + 1)
+    out = np.zeros(n, np.int64)
+    for i in range(_MER):
+        out = out << 8 | x[i : i + n]
+    return out
+
+
+def _apart(texts: list[list[bytes]], others: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(strings, weights): what is in several of texts and, as a share, in under a quarter as many of others."""
+
+    def counts(some: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([np.unique(_mers(b" " + b" ".join(w) + b" ")) for w in some]), return_counts=True)
+
+    (mine, n), (known, m) = counts(texts), counts(others)
+    at = np.minimum(np.searchsorted(known, mine), len(known) - 1) if len(known) else np.zeros(len(mine), np.int64)
+    m = np.where(known[at] == mine, m[at], 0) if len(known) else np.zeros(len(mine), np.int64)
+    ratio = np.log((n + 0.5) / (len(texts) + 1)) - np.log((m + 0.5) / (len(others) + 1))
+    good = (n >= max(3, len(texts) // 100)) & (ratio > np.log(4))
+    return mine[good], (ratio * np.sqrt(n))[good]
+
+
+def _setting_apart(texts: list[list[bytes]], others: list[list[bytes]], size: int) -> bytes:
+    """Windows of texts that hold most of what is not in others, for their length, the best last; each string counts once."""
+    mers, weight = _apart(texts, others)
+    if not len(mers):
+        return b""
+    pieces = sorted({b" " + b" ".join(w[i : i + _PIECE_WORDS]) + b" " for w in texts for i in range(max(1, len(w) - _PIECE_WORDS + 1))})
+    length = np.array([len(p) for p in pieces])
+    found = _mers(b"".join(pieces))
+    end = np.cumsum(length)
+    own = np.repeat(np.arange(len(pieces)), length)[: len(found)]
+    at = np.minimum(np.searchsorted(mers, found), len(mers) - 1)
+    inside = (mers[at] == found) & (np.arange(len(found)) + _MER <= end[own])
+    at, own = at[inside], own[inside]
+    out: list[bytes] = []
+    while len(at) and sum(map(len, out)) < size:
+        score = np.bincount(own, weight[at], minlength=len(pieces)) / (length + 4)
+        best = int(score.argmax())
+        out.append(pieces[best])
+        weight[at[own == best]] = 0
+        left = weight[at] > 0
+        at, own = at[left], own[left]
+    return b"".join(reversed(out))[-size:]
+
+
 class ToxicityModel:
     """Fitted on (id, text, label); without texts of both classes it scores the share of label 1.
 
@@ -75,15 +128,8 @@ class ToxicityModel:
         rest = [(w, y) for k, w, y in rows if not k]
         if not toxic or not ordinary or len({y for _, y in rest}) < 2:
             return
-        in_toxic = Counter(w for t in toxic for w in set(t))
-        in_ordinary = Counter(w for t in ordinary for w in set(t))
-        # Wording that several toxic texts share and ordinary ones hardly use; others are noise to the trainer.
-        least = max(3, len(toxic) // 100)
-        apart = {w: n for w, n in in_toxic.items() if n >= least and len(w) > 2 and in_ordinary[w] * len(toxic) * 8 <= n * len(ordinary)}
-        pieces = [b" " + w + b" " for w, n in sorted(apart.items()) for _ in range(n)]
-        random.Random(0).shuffle(pieces)
-        self.ordinary = _trained(ORDINARY_BYTES, [x for t in ordinary for x in _windows(t)][:200_000])
-        self.toxic = _trained(TOXIC_BYTES, pieces) if pieces else b""
+        self.ordinary = _trained(ORDINARY_BYTES, [x for t in ordinary for x in _windows(t)])
+        self.toxic = _setting_apart(toxic, ordinary, TOXIC_BYTES)
         x = np.array([self._features(w) for w, _ in rest])
         self.calibration = fit_logistic(x, np.array([y for _, y in rest], float), share=share)
 
