@@ -1,15 +1,21 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. A line weighs its characters outside
-links, or nothing if it stands in a menu, advert or the like. Sums of weights over a sliding window
-of lines rise where the article begins, the surge, and fall to nothing where it ends, the dive; the
-lines between are the text.
+Markup is stripped into lines, one for each block element. Lines of menus, adverts, forms and the
+like stand in no window, and neither do lines outside <article> and <main> on pages that have them.
+Another line weighs its characters outside links, or nothing if it is mostly links. Where the sum
+of weights over a sliding window of lines rises from nothing is a surge, where it falls to nothing
+a dive; the lines between are text if some window among them is heavy enough, or a short page's
+all, or if a paragraph among them ends like a sentence.
+
+Pages are read once from beginning to end, whatever is unclosed or malformed: the time taken is in
+proportion to their length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,72 +25,143 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import table
 
-#: Lines of a window, and the characters that a surge takes where nothing marks the article.
+#: Lines of a window, and the characters that make a surge.
 WINDOW, SURGE = 3, 60
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
-)
-_RAW = frozenset("script style template noscript iframe svg textarea select option title head object canvas audio video math".split())
-_BOILERPLATE = frozenset("nav footer aside form button dialog menu fieldset label".split())
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)?(?:\s*=\s*)?""")
+_PLAIN_VALUE = re.compile(r"[^\s>]*")
+#: Their content is no markup.
+_RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+_BOILERPLATE = frozenset("nav footer aside form button dialog menu fieldset label head template svg math select option object canvas audio video".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|sidebar|comments?|reply|replies|respond|cookies?|consent|notice|alert|"
-    r"newsletter|subscribe|share|sharing|social|related|recommended|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|"
-    r"footer|header|masthead|popup|modal|overlay|widget|toolbar|disqus|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words in a class or id that always mark what is no text, and those that do unless a line is as long as a surge.
+_MARKED = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo sidebar comment comments cookie cookies newsletter subscribe menu nav navbar "
+    "navigation breadcrumb breadcrumbs pagination pager popup modal disqus".split()
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_OUTSIDE = frozenset("header footer masthead".split())
+_WEAK = frozenset("banner reply replies respond consent notice alert share sharing social related recommended overlay widget toolbar skip".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
+_WORD = re.compile(r"[a-z0-9]+")
+_SENTENCE = re.compile(r"[.!?\u2026][\"'\u201d\u2019\u00bb)\]]*$")
+_RIGHTS = re.compile(r"\s*(?:\u00a9|\(c\)|copyright\b)", re.IGNORECASE)
 
 
 @dataclass
 class Line:
+    """A line of text; linked: its characters in links, weak: whether a class or id makes it doubtful."""
+
     text: str
     linked: int
     skipped: bool
     article: bool
-
-
-def _is_marked(attributes: str) -> bool:
-    for m in _NAMED.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        if value.lower() in _ROLES or _MARKED.search(value):
-            return True
-    return False
+    weak: bool
+    paragraph: bool
+
+
+class _Page:
+    """The tags of a page, in one pass."""
+
+    def __init__(self, page: str):
+        self.page = page
+        # Where no quote follows any more, an attribute that opens with one ends like a plain one.
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.endless: set[str] = set()  # raw elements that are not closed any more
+
+    def tag(self, at: int) -> tuple[str, list[tuple[str, str]], int]:
+        """(name, with a slash before it if closing, attributes, end) of the tag at at; the end is beyond the page if it is not closed."""
+        page, size = self.page, len(self.page)
+        m = _NAME.match(page, at + 1)
+        name, at, found = m[0].lower(), m.end(), []
+        while at < size and page[at] != ">":
+            m = _ATTRIBUTE.match(page, at)
+            key, equals, at = m[1], m[0].rstrip().endswith("="), m.end()
+            value = ""
+            if equals and at < size:
+                quote = page[at]
+                if quote in self.last and at < self.last[quote]:
+                    end = page.index(quote, at + 1)
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    m = _PLAIN_VALUE.match(page, at)
+                    value, at = m[0], m.end()
+            if key:
+                found.append((key.lower(), value))
+            elif not m[0]:
+                at += 1  # a character that belongs nowhere
+        return name, found, at + 1
+
+    def after_raw(self, name: str, at: int) -> int:
+        """Where the content of a raw element that begins at at, and its end tag, are over; the page's end if it is not closed."""
+        if name not in self.endless:
+            if m := re.compile(rf"</{name}[\s/]*>", re.IGNORECASE).search(self.page, at):
+                return m.end()
+            self.endless.add(name)
+        return len(self.page)
+
+
+def _mark(attributes: list[tuple[str, str]], within: bool) -> int:
+    """2 for an element that holds no text, 1 for a doubtful one, else 0; within: inside the article."""
+    mark = 0
+    for key, value in attributes:
+        if key == "role" and value.strip().lower() in _ROLES:
+            return 2
+        if key in ("class", "id"):
+            words = set(_WORD.findall(value.lower()))
+            if words & _MARKED or (not within and words & _OUTSIDE):
+                return 2
+            if words & _WEAK:
+                mark = 1
+    return mark
 
 
 def lines_of(page: str) -> list[Line]:
     """The page's text, a line for each stretch between block elements."""
     out: list[Line] = []
     parts: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, skipped, article
-    linked = links = at = 0
+    open_: list[tuple[str, bool, bool, bool]] = []  # name, skipped, article, weak
+    named: Counter[str] = Counter()
+    inside = [0, 0, 0]  # how many open elements are skipped, article, weak
+    tags, linked, links, at, size = _Page(page), 0, 0, 0, len(page)
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Line(text, linked, any(x[1] for x in open_), any(x[2] for x in open_)))
+            out.append(Line(text, linked, inside[0] > 0, inside[1] > 0, inside[2] > 0, bool(open_) and open_[-1][0] == "p"))
         parts.clear()
         linked = 0
 
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            linked += (m.start() - at) * bool(links)
-        at = m.end()
-        if not m[2]:
+    def close(to: int) -> None:
+        while len(open_) > to:
+            name, *kinds = open_.pop()
+            named[name] -= 1
+            for k, yes in enumerate(kinds):
+                inside[k] -= yes
+
+    while at < size:
+        begin = page.find("<", at)
+        while begin >= 0 and not (page[begin + 1 : begin + 2] in ("!", "?") or _NAME.match(page, begin + 1)):
+            begin = page.find("<", begin + 1)  # a plain character
+        end = begin if begin >= 0 else size
+        if end > at:
+            parts.append(page[at:end])
+            linked += (end - at) * bool(links)
+        if begin < 0:
+            break
+        if page[begin + 1] in "!?":
+            stop = "-->" if page.startswith("<!--", begin) else ">"
+            at = page.find(stop, begin + len(stop))
+            at = size if at < 0 else at + len(stop)
             continue
-        name, closing = m[2].lower(), bool(m[1])
-        if name in _RAW and not closing:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-                # An unclosed head ends where the body begins; anything else runs to the end.
-                end = end or (re.compile(r"(?=<body\b)", re.IGNORECASE).search(page, at) if name == "head" else None)
-                at = end.end() if end else len(page)
+        name, attributes, at = tags.tag(begin)
+        closing, name = name[0] == "/", name.lstrip("/")
+        if name in _RAW:
+            if not closing:
+                at = tags.after_raw(name, at)
             continue
         if name == "a":
             links = max(0, links + (-1 if closing else 1))
@@ -97,55 +174,63 @@ def lines_of(page: str) -> list[Line]:
         if name in _VOID:
             continue
         if closing:
-            where = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
-            if where is not None:
-                if open_[where][1] and inline:
+            if named[name]:
+                where = len(open_) - 1
+                while open_[where][0] != name:
+                    where -= 1
+                if inline:
                     flush()
-                del open_[where:]
+                close(where)
             continue
-        if name == "p" and open_ and open_[-1][0] == "p":
-            open_.pop()
-        within = any(x[2] for x in open_)
+        if name in ("p", "li", "option") and open_ and open_[-1][0] == name:
+            close(len(open_) - 1)
+        if name == "body":  # ends a head that was left open
+            close(next((k for k, x in enumerate(open_[:8]) if x[0] == "head"), len(open_)))
         article = name in ("article", "main")
-        skipped = name in _BOILERPLATE or (name == "header" and not within) or (not article and name not in ("html", "body") and _is_marked(m[3]))
+        mark = 0 if article or name in ("html", "body") else _mark(attributes, inside[1] > 0)
+        skipped = name in _BOILERPLATE or (name == "header" and not inside[1]) or mark == 2
         if inline and not skipped:
             continue
         if inline:
             flush()
-        open_.append((name, skipped, article))
-    if at < len(page):
-        parts.append(page[at:])
+        open_.append((name, skipped, article, mark == 1))
+        named[name] += 1
+        for k, yes in enumerate((skipped, article, mark == 1)):
+            inside[k] += yes
     flush()
     return out
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text: its blocks in page order, joined by an empty line; empty for null or empty pages."""
-    # Skipped lines stand in no window: the text before and after them is one surge.
-    lines = lines_of(page or "")
-    marked = any(x.article and not x.skipped for x in lines)
-    lines = [x for x in lines if not x.skipped]
-    weight = []
-    for x in lines:
-        mostly_links = x.linked * 2 > len(x.text)
-        weight.append(0 if (marked and not x.article) or (mostly_links and not x.article) else max(1, len(x.text) - x.linked))
-    # Within a marked article any text is a surge.
-    need = 1 if marked else min(surge, sum(weight))
-    keep: list[int] = []
-    inside = False
-    for i in range(len(lines)):
-        block = sum(weight[i : i + window])
-        if not inside and weight[i] and block >= max(1, need):
-            inside = True
-        elif inside and not block:
-            inside = False
-        if inside:
-            keep.append(i)
-    return "\n\n".join(lines[i].text for i in keep if lines[i].article or not marked)
+    lines = [x for x in lines_of(page or "") if not x.skipped and not (x.weak and len(x.text) - x.linked < surge)]
+    if any(x.article for x in lines):
+        lines = [x for x in lines if x.article]
+    weight = [0 if x.linked * 2 > len(x.text) and not x.article else max(1, len(x.text) - x.linked) for x in lines]
+    blocks = [sum(weight[i : i + window]) for i in range(len(lines))]
+    need = min(surge, sum(weight))
+    keep: list[str] = []
+    at = 0
+    while at < len(lines):
+        if not weight[at]:
+            at += 1
+            continue
+        dive = at
+        while dive < len(lines) and blocks[dive]:
+            dive += 1
+        run = lines[at:dive]
+        if max(blocks[at:dive]) >= need or any(x.paragraph and _SENTENCE.search(x.text) and not _RIGHTS.match(x.text) for x in run):
+            keep += [x.text for x in run]
+        at = dive
+    return "\n\n".join(keep)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of pages; other columns are not read."""
+    """(page_id, url, text, n_chars) of every row of pages; other columns are not read, whatever their names.
+
+    Null and empty html gives an empty text; null ids and urls stay; repeated rows each get their own
+    result; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

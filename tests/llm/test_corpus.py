@@ -374,6 +374,52 @@ def test_skipped_lines_end_no_text(skipped):
     assert htmltext.main_text(f"<body>{page}{late}</body>").endswith(("later " * 20).strip())
 
 
+def test_closing_paragraph_after_links():
+    paragraphs = ["words of the text " * 12 + "end."] * 30
+    links = "<ul>" + "<li><a href=x>A link</a></li>" * 4 + "</ul>"
+    page = "".join(f"<p>{p}</p>" for p in paragraphs) + links + "<p>That is all there is.</p>"
+    assert htmltext.main_text(f"<body>{page}</body>") == "\n\n".join([*paragraphs, "That is all there is."])
+    assert htmltext.main_text(f"<body>{page}<p>&copy; 2020 Some site.</p></body>").endswith("That is all there is.\n\n© 2020 Some site.")
+    assert htmltext.main_text(f"<body>{page}{links}<p>&copy; 2020 Some site.</p></body>").endswith("That is all there is.")
+
+
+def test_pages_malformed():
+    assert htmltext.main_text("<body><p title=it's>A text of some words.</p><p class='x>Another one.</p></body>").startswith("A text of some words.")
+    long = "A line that is as long as the text of an article, so that it is one. " * 2
+    inside = f"<p class='share-price'>{long}</p><div class='related-work'><p>{long}</p></div><div class='share'><a href=x>Share</a></div><div class=comments><p>{long}</p></div>"
+    assert htmltext.main_text(f"<article><div class=header><h1>T</h1></div>{inside}</article><p>{long}</p>") == "\n\n".join(["T", long.strip(), long.strip()])
+    assert htmltext.main_text(f"<head><title>T</title><body><p>{long}<p>{long}<select><option>a<option>b</select><p>{long}") == "\n\n".join([long.strip()] * 3)
+    assert htmltext.main_text(f"<p>1 < 2 and a<b>c</b> <!-- x --> {long}") == "1 < 2 and ac " + long.strip()
+
+
+@pytest.mark.parametrize("unit", ["<div>", '<a "', "<p title='", "<!--", "<", "</div>", "<b>", "<option>x", "<a b=c", "<p>a b</p>", "&amp", "<a ="])
+def test_pages_take_linear_time(unit):
+    import time
+
+    def took(n):
+        begun = time.process_time()
+        htmltext.main_text(unit * n)
+        return time.process_time() - begun
+
+    assert took(160_000) < 40 * max(took(8_000), 0.02)
+
+
+def test_pages_recall_and_precision_by_hand():
+    """Pages whose text is marked by hand, with and without <article>."""
+    r = random.Random(4)
+    sentence = lambda: " ".join(r.choice("some words that make up the text of an article on a page".split()) for _ in range(r.randint(4, 30))).capitalize() + "."
+    wanted = found = right = 0
+    for k in range(200):
+        text = [sentence() for _ in range(r.randint(3, 25))]
+        body = "".join(f"<p>{s}</p>" + ("<div class='ad'>Buy this</div>" if r.random() < 0.1 else "") for s in text)
+        body = f"<article>{body}</article>" if k % 2 else f"<div id=content>{body}</div>"
+        menu = "<ul>" + "".join(f"<li><a href='/{i}'>Page {i}</a></li>" for i in range(r.randint(3, 9))) + "</ul>"
+        page = f"<html><head><title>x</title><script>var a='<p>no</p>'</script></head><body>{menu}<div class=cookie-banner>{sentence()}</div>{body}{menu}<footer>{sentence()}</footer></body></html>"
+        got = htmltext.main_text(page).split("\n\n")
+        wanted, found, right = wanted + len(text), found + len(got), right + sum(min(got.count(s), text.count(s)) for s in set(text))
+    assert right == wanted == found
+
+
 def test_pages_edges(spark):
     df = spark.createDataFrame([(1, None, None, 1), (1, "u", "<p>x</p>", 2), (None, "u", "", 3)], "page_id long, url string, html string, text int")
     assert sorted((r.text, r.n_chars) for r in htmltext.extract_text(df).collect()) == [("", 0), ("", 0), ("x", 1)]
