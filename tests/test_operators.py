@@ -146,3 +146,18 @@ def test_dump_scan(spark, tmp_path):
     assert bad.count() == 1
     with pytest.raises(ValueError):
         entities.split_bad(entities.scan(spark, str(f), ["Q5"]), 0)
+
+
+def test_scratch(spark, monkeypatch, tmp_path):
+    from pairloom.sources import scratch
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda k, d: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError, match="share"):
+        scratch.scratch_dir(Elsewhere)
+    monkeypatch.setattr(scratch, "scratch_dir", lambda s: f"file://{tmp_path}/own")
+    assert scratch.written(spark.range(3), "x").count() == 3 and list((tmp_path / "own").iterdir())
+    scratch.drop_scratch(spark)
+    assert not (tmp_path / "own").exists()
