@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.sources.scratch import scratch_dir, written
+
 #: A word: a run of characters other than ASCII white space. Java and RE2 read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table that has been counted may be broadcast.
 BROADCAST_ROWS = 50_000
-_OWN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        _OWN.append("file://" + tempfile.mkdtemp(prefix="pairloom"))
-    return _OWN[0]
+    """The folder of this application's scratch tables, which driver and executors share; see drop_scratch()."""
+    return scratch_dir(spark)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -35,10 +31,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage as checkpoint() does, without computing the last stage twice. A lost
     executor costs the tasks it ran, not what was written.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
+
+
+def store_bytes(folder: str, name: str, data: bytes) -> None:
+    """A file in folder, a URI. It is written under another name and renamed, so that none is ever half there."""
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    hidden = f"{path}/_{uuid.uuid4().hex}"
+    with store.open_output_stream(hidden) as f:
+        f.write(data)
+    store.move(hidden, f"{path}/{name}")
+
+
+def load_bytes(file: str) -> bytes:
+    store, path = fs.FileSystem.from_uri(file)
+    with store.open_input_stream(path) as f:
+        return f.read()
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

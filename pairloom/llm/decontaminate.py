@@ -4,15 +4,20 @@ The inverted index holds, by term, item segments with their BM25 contribution di
 of the segment against itself, so that a passage that contains a whole segment scores 1. All
 segments above a threshold are retrieved with block-max WAND (Ding and Suel, 2011); before that, a
 bound over coarse ranges of items dismisses most passages in array operations. What is retrieved
-counts only if the words of both the question and the answer occur in five-word runs.
+counts only if, side by side, the item and the words around the passage agree in most words of the
+item and in enough of both its question and its answer.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -20,16 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import table
+from pairloom.llm.common import load_bytes, shared_dir, store_bytes, table
 
 #: Words of a segment; a passage is two such stretches, so every segment lies whole in some passage.
 SEGMENT = 64
-#: Share of a segment's own score from which a passage is looked at, and of covered words from which it counts.
-MIN_SCORE, MIN_OVERLAP, RUN = 0.6, 0.8, 5
+#: Share of a segment's own score from which a passage is looked at.
+MIN_SCORE = 0.6
+#: Share of an item's words that have to agree, and of its question's and answer's each; words count in runs of RUN or more.
+MIN_OVERLAP, MIN_PART, RUN = 0.8, 0.6, 2
+#: Words that an answer has at least, where the item is long enough.
+MIN_ANSWER = 8
 #: Score that at least has to come from the rarer terms, for a passage to reach MIN_SCORE.
 _RARE_SCORE = 0.17
-#: Characters of test items in one index. Larger benchmarks are indexed in parts, one after the other.
-INDEX_CHARS = 20_000_000
+#: Characters of test items in one index. Larger benchmarks are indexed in several, of which a worker holds two at a time.
+INDEX_CHARS = 4_000_000
 #: Characters of documents that are worked on at once.
 _CHUNK_CHARS = 400_000
 _BLOCK, _RANGES = 32, 256
@@ -40,14 +49,18 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
-def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """The answer is the last sentence, or the last quarter of a single sentence; the rest is the question."""
+def answer_at(text: str) -> int:
+    """The number of the word with which the answer begins.
+
+    The answer is the last sentence, or more of the item's end if that has under MIN_ANSWER words,
+    but no more than half of it.
+    """
     parts = [w for s in re.split(r"[.!?\n]+", text or "") if (w := words_of(s))]
-    if len(parts) > 1:
-        return [w for p in parts[:-1] for w in p], parts[-1]
-    words = parts[0] if parts else []
-    cut = len(words) - max(1, len(words) // 4)
-    return (words[:cut], words[cut:]) if cut > 0 else (words, words)
+    size = sum(map(len, parts))
+    last = len(parts[-1]) if parts else 0
+    if last == size:  # a single sentence
+        last = max(1, size // 4)
+    return max(size - max(last, MIN_ANSWER), size - last if last > size // 2 else size // 2)
 
 
 class ItemIndex:
@@ -56,8 +69,9 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], segment: int = SEGMENT, k1: float = 1.2, b: float = 0.75):
         self.segment = segment
         self.items = [(i, t) for i, t in items if words_of(t)]
-        self.parts = [question_and_answer(t) for _, t in self.items]
-        self.lengths = [len(words_of(t)) for _, t in self.items]
+        self.words = [words_of(t) for _, t in self.items]
+        self.answers = [answer_at(t) for _, t in self.items]
+        self.lengths = [len(w) for w in self.words]
         pieces = [(n, words_of(t)[a : a + segment]) for n, (_, t) in enumerate(self.items) for a in range(0, self.lengths[n], segment)]
         self.owner = [n for n, _ in pieces]
         self.terms = {w: k for k, w in enumerate(sorted({w for _, p in pieces for w in p}))}
@@ -134,7 +148,7 @@ class ItemIndex:
             cursors = [c for c in cursors if c[0] >= 0]
         return out
 
-    def leaks(self, texts: list[str | None], least: float = MIN_SCORE, overlap: float = MIN_OVERLAP) -> list[tuple[int, int, float, float, float]]:
+    def leaks(self, texts: list[str | None], least: float = MIN_SCORE, overlap: float = MIN_OVERLAP, part: float = MIN_PART) -> list[tuple[int, int, float, float, float]]:
         """(text number, item number, score, question overlap, answer overlap), once for each text and item."""
         slack = 1e-4  # the bounds are kept in single precision
         if least <= self.common_most.max() + slack:
@@ -174,21 +188,20 @@ class ItemIndex:
                     continue
                 # Around the passage, so that a long item's other segments are there too.
                 near = words[n][max(0, at - self.lengths[item]) : at + 2 * self.segment + self.lengths[item]]
-                q, a = (_covered(p, near) for p in self.parts[item])
-                if q >= overlap and a >= overlap:
+                both, q, a = _agreement(self.words[item], self.answers[item], near)
+                if both >= overlap and q >= part and a >= part:
                     best[n, item] = (score, q, a)
         return [(n, item, *v) for (n, item), v in sorted(best.items())]
 
 
-def _covered(part: list[str], words: list[str]) -> float:
-    """Share of part's words that lie in runs of RUN words which words has too."""
-    run = min(RUN, len(part))
-    there = {tuple(words[i : i + run]) for i in range(len(words) - run + 1)}
-    hit = [False] * len(part)
-    for i in range(len(part) - run + 1):
-        if tuple(part[i : i + run]) in there:
-            hit[i : i + run] = [True] * run
-    return sum(hit) / len(part)
+def _agreement(item: list[str], answer: int, words: list[str]) -> tuple[float, float, float]:
+    """Shares of an item's words, of its question's and of its answer's that agree with words in order."""
+    agree = [False] * len(item)
+    for m in SequenceMatcher(None, words, item, autojunk=False).get_matching_blocks():
+        if m.size >= min(RUN, len(item)):
+            agree[m.b : m.b + m.size] = [True] * m.size
+    parts = (agree, agree[:answer] or agree, agree[answer:] or agree)
+    return tuple(sum(p) / len(p) for p in parts)
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -202,54 +215,76 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def item_indexes(benchmark: DataFrame, chars: int = INDEX_CHARS) -> Iterator[ItemIndex]:
-    """Indexes of up to about chars characters each, which together hold every item."""
+def write_indexes(benchmark: DataFrame, chars: int = INDEX_CHARS) -> list[str]:
+    """Files of indexes of about chars characters each in the shared folder, which together hold every item.
+
+    They are built and read by the executors; the driver only has their names.
+    """
+    spark = benchmark.sparkSession
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-total // chars)
-    for k in range(parts):
-        mine = rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else rows
-        yield ItemIndex(sorted((tuple(r) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+    parts, folder = -(-total // chars), f"{shared_dir(spark)}/items-{uuid.uuid4().hex}"
+    if not parts:
+        return []
+
+    def build(items: pa.Table) -> pa.Table:
+        name = f"{items.column('part')[0].as_py():06d}.index"
+        mine = sorted(zip(items.column("item_id").to_pylist(), items.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        store_bytes(folder, name, pickle.dumps(ItemIndex(mine)))
+        return pa.table({"file": [f"{folder}/{name}"]})
+
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("text", "item_id", F.monotonically_increasing_id()), F.lit(parts)))
+    return sorted(r.file for r in dealt.groupBy("part").applyInArrow(build, "file string").collect())
+
+
+@lru_cache(maxsize=2)
+def _index(file: str) -> ItemIndex:
+    return pickle.loads(load_bytes(file))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for each row of docs and item it contains.
 
     Null and empty texts contain nothing, items without words are contained nowhere, repeated rows
-    and repeated items each get their own result. An empty benchmark gives an empty result.
+    and repeated items each get their own result. Very long texts are read whole, passage by passage.
+    Of several passages with one item the best counts, of equally good ones the first. An empty
+    table of either kind gives an empty result; other columns are not read, whatever their names.
     """
+    files = write_indexes(benchmark)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    out = None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for index in item_indexes(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+    if not files:
+        return docs.sparkSession.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for file in files:
+                index = _index(file)
                 found = [(ids[a + n], index.items[i][0], *v) for a, z in _chunks(texts) for n, i, *v in index.leaks(texts[a:z])]
-                yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "score", "question_overlap", "answer_overlap"), f, strict=True)) for f in found], schema=_PAIRS)
+                yield pa.RecordBatch.from_pylist([dict(zip(_PAIRS.names, f, strict=True)) for f in found], schema=_PAIRS)
 
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 _PAIRS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that contain no test item, columns as they were; nothing is shuffled."""
-    for index in item_indexes(benchmark):
-        at = docs.columns.index("text")
-
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index, at: int = at) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                texts = b.column(at).to_pylist()
-                bad = {a + n for a, z in _chunks(texts) for n, *_ in index.leaks(texts[a:z])}
-                yield b.filter(pa.array([n not in bad for n in range(len(texts))])) if bad else b
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The rows of docs that contain no test item, columns as they were, whatever their names; nothing is shuffled.
+
+    Null and empty texts stay; repeated rows all stay or all go; an empty benchmark keeps all rows.
+    """
+    files, at = write_indexes(benchmark), docs.columns.index("text")
+    if not files:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            bad = {a + n for file in files for a, z in _chunks(texts) for n, *_ in _index(file).leaks(texts[a:z])}
+            yield b.filter(pa.array([n not in bad for n in range(len(texts))])) if bad else b
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,12 +25,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import checked_broadcast, materialise, shared_dir, table
+from pairloom.llm.common import checked_broadcast, materialise, shared_dir, store_bytes, table
 from pairloom.llm.rangecoder import BLOCK_IDS, decode_blocks, encode_blocks
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -243,15 +242,6 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else d for d, z in zip(names.tolist(), null.tolist(), strict=True)], sizes.astype(np.int64), ids
 
 
-def _store(folder: str, name: str, data: bytes) -> None:
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    hidden = f"{path}/_{uuid.uuid4().hex}"
-    with store.open_output_stream(hidden) as f:
-        f.write(data)
-    store.move(hidden, f"{path}/{name}")
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """Writes all documents' ids to folder, a URI that all executors can write to; returns (file, documents, ids).
 
@@ -275,7 +265,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
             """Writes the first documents and keeps the others."""
             nonlocal made, names, sizes, ids
             name, size = f"part-{part:06d}-{made:06d}.tokens", int(sizes[:documents].sum())
-            _store(folder, name, pack_file(names[:documents], sizes[:documents], ids[:size]))
+            store_bytes(folder, name, pack_file(names[:documents], sizes[:documents], ids[:size]))
             made, names, sizes, ids = made + 1, names[documents:], sizes[documents:], ids[size:]
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, documents, size)], ["file", "documents", "ids"])
 
