@@ -49,22 +49,28 @@ def simhash64(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         end = np.cumsum(size + 1) - 1
         starts, ends = (end - size)[: 1 - shingle].tolist(), end[shingle - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
+    return simhash_of(np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """Each bit that over half of the hashes have; 0 for none."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 65536):  # bounded memory for very long texts
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + 65536], ends[at : at + 65536], strict=True)], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 65536):  # bounded memory for very long texts
+        some = hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, key, fp): key is the XXH64 of the text, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash64(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([simhash64(t.as_py(), shingle) for t in b.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("\x00"))).alias("key"), "text")
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -114,43 +120,53 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
     return edges
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs: the smallest doc_id reachable over links.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3, with_key: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs: the smallest doc_id reachable over links; with_key also (key, root).
 
     Documents with equal fingerprints are linked, so copies collapse before any bucket is built.
     Null, empty and wordless texts have fingerprint 0, which is linked like any other. Rows
-    without an id get the component's smallest id, null if it has none. An empty table gives an
-    empty result; other columns are not read.
+    without an id get the component's smallest id, null if it has none. Very long texts are read
+    whole. An empty table gives an empty result; other columns are not read.
     """
     prints = materialise(fingerprints(docs, shingle), "simhash")
     distinct = materialise(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")), "simhash-distinct")
     linked = connected_components(near_edges(distinct.select("fp"), radius))
     linked = materialise(linked.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "first"), "simhash-linked")
     ids = linked.groupBy("root").agg(F.min("first").alias("component")).withColumnRenamed("root", "_root")
-    linked = linked.join(ids, F.col("root") == F.col("_root")).select("node", "component")
+    linked = linked.join(ids, F.col("root") == F.col("_root")).select("node", "component", "root")
     known = distinct.join(linked, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "first").alias("component")
+        F.col("fp").alias("_fp"), F.coalesce("component", "first").alias("component"), F.coalesce("root", "fp").alias("root")
     )
     out = prints.join(known, F.col("fp") == F.col("_fp"), "left")
-    return out.select("doc_id", "fp", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
+    return out.select("doc_id", "fp", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"), *(["key", "root"] if with_key else []))
 
 
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their component_id in found (doc_id, component_id), one for each; rows without either stay."""
-    gone = found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(materialise(gone, "simhash-gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        ids = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = ids.unionByName(kept.filter("doc_id is null"))
-    return kept
+    """One row of docs for each root in found (doc_id, key, root), where key is the XXH64 of the text.
+
+    That of the smallest id stays, null ids last, of several rows with it the one of the smallest key.
+    """
+    named = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "key", "root")
+    first = named.groupBy("root").agg(F.min(F.struct("id", "key")).alias("first")).select("first.id", "first.key")
+    # Those who go: few, as most documents have no near copy.
+    gone = named.select("id", "key").distinct().join(first, ["id", "key"], "left_anti").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    key = F.xxhash64(F.coalesce("text", F.lit("\x00")))
+    is_gone = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (key == F.col("_key"))
+    kept = docs.join(materialise(gone, "simhash-gone"), is_gone, "left_anti")
+    twice = named.groupBy("id", "key").count().filter("count > 1").join(first, ["id", "key"])
+    if not twice.limit(1).count():
+        return kept
+    # Of equal rows among those who stay, the first is kept; partial aggregation meets them before any shuffle.
+    once = kept.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", key)
+    twice = materialise(twice.select("id", "key"), "simhash-twice").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    alone = once.join(twice, ["_id", "_key"], "left_anti").select(*docs.columns)
+    return alone.unionByName(once.join(twice, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns))
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that have the smallest doc_id of their group, one for each group, columns as they were.
-
-    A group without any id keeps all its rows, as none can be named.
-    """
-    return keep_first(docs, materialise(near_duplicates(docs, radius), "simhash-groups"))
+    """One row of docs for each group of linked fingerprints, columns as they were; see keep_first() for which."""
+    found = near_duplicates(docs, radius, with_key=True)
+    return keep_first(docs, materialise(found, "simhash-groups"))
 
 
 def op3_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,22 @@ def test_simhash_edges(edge, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_loses_no_text(spark):
+    from pairloom.llm import similar
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = b.replace("b30 ", "other ")
+    rows = [(5, a), (3, b), (5, b), (7, near), (None, c), (None, c), (9, None), (8, ""), (5, a), (4, "short one"), (4, "another one")]
+    df = spark.createDataFrame([(d, t, "x", "y", 1, "s", "f", "z") for d, t in rows], COLS)
+    for drop in (simhash.drop_near_duplicates, similar.drop_similar):
+        kept = drop(df)
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+        want = [(5, a), (3, b), (None, c), (8, ""), (4, "short one"), (4, "another one")]
+        assert kept.columns == df.columns and [x for x in got if x[1] != near] == sorted(want, key=repr)
+        assert drop(df.limit(0)).count() == 0
+    assert (7, near) not in got
+
+
 # --- 2: decontamination -----------------------------------------------------------------------
 
 
