@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.sources.scratch import written
+
 
 def list_rows(
     rows: DataFrame,
@@ -54,10 +56,30 @@ def readable(langs: list[str], label_langs: Column, clash_langs: Column) -> Colu
     return (label_langs.isNull() | F.arrays_overlap(label_langs, mine)) & (clash_langs.isNull() | (F.size(F.array_except(clash_langs, mine)) == 0))
 
 
-def neighbours(rows: DataFrame, by: str, sort: str, id_: str) -> DataFrame:
-    """rows with the ids before and after in (sort descending, id descending) within by."""
-    w = Window.partitionBy(by).orderBy(F.col(sort).desc(), F.col(id_).desc())
-    return rows.withColumn("prev_id", F.lag(id_).over(w)).withColumn("next_id", F.lead(id_).over(w))
+def neighbours(rows: DataFrame, by: list[str], sort: str, id_: str) -> DataFrame:
+    """rows with the ids before and after in (sort descending, id descending) among those equal in by, nulls being equal.
+
+    The order is dealt in ranges, which are written, so that no group meets in one task; of each
+    range the first and last row are held against the ranges beside it.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*(F.col(c).asc_nulls_first() for c in by), F.col(sort).desc_nulls_last(), F.col(id_).desc_nulls_last()]
+    dealt = written(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "dealt")
+    within = Window.partitionBy("_part").orderBy(*order)
+    me = F.struct(F.struct(*by).alias("by"), F.col(id_).alias("id"))
+    placed = dealt.withColumns({"_before": F.lag(me).over(within), "_after": F.lead(me).over(within), "_me": me})
+    ends = placed.filter("_before is null or _after is null").groupBy(F.col("_part").alias("_p")).agg(
+        F.first(F.when(F.col("_before").isNull(), F.col("_me")), True).alias("first"), F.first(F.when(F.col("_after").isNull(), F.col("_me")), True).alias("last")
+    )
+    ranges = Window.partitionBy(F.lit(0)).orderBy("_p")  # a row for each range
+    ends = ends.select("_p", F.lag("last").over(ranges).alias("_end"), F.lead("first").over(ranges).alias("_begin"))
+    out = placed.join(F.broadcast(ends), F.col("_part") == F.col("_p"))
+
+    def there(x: Column) -> Column:
+        return F.when(x["by"].eqNullSafe(F.struct(*by)), x["id"])
+
+    found = {"prev_id": there(F.coalesce("_before", "_end")), "next_id": there(F.coalesce("_after", "_begin"))}
+    return out.withColumns(found).drop("_part", "_p", "_before", "_after", "_me", "_end", "_begin")
 
 
 def neighbours_of(rows: DataFrame, by: str, sort: str, id_: str, of: int) -> DataFrame:
@@ -88,7 +110,7 @@ def page_bounds(rows: DataFrame, key: str, size: int) -> DataFrame:
     ranges before, so no task orders all rows.
     """
     n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = rows.select(key).repartitionByRange(int(n), key).withColumn("_part", F.spark_partition_id())
+    dealt = written(rows.select(key).repartitionByRange(int(n), key).withColumn("_part", F.spark_partition_id()), "dealt")
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
     counts = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -64,22 +64,22 @@ def part_pairs(part: DataFrame) -> DataFrame:
     """Pairs of parts that share name key and type, beside each other."""
     rows = part.withColumn("key", text.blocking_key(F.col("p_name")))
     found = pairs(rows, ["key", "p_type"], "p_partkey")
-    cols = ["p_name", "p_brand", "p_size", "p_retailprice"]
-    a, b = (part.select(F.col("p_partkey").alias(s), *[F.col(c).alias(f"{s}_{c[2:]}") for c in cols]) for s in "ab")
+    cols = ["p_norm", "p_brand", "p_size", "p_retailprice"]
+    named = part.withColumn("p_norm", text.normalize(F.col("p_name")))  # once for each part, not for each pair
+    a, b = (named.select(F.col("p_partkey").alias(s), *[F.col(c).alias(f"{s}_{c[2:]}") for c in cols]) for s in "ab")
     return found.join(a, "a").join(b, "b")
 
 
 def part_signals(pairs_: DataFrame) -> DataFrame:
     """Each signal as a column, so that the rules share what it costs."""
-    named = pairs_.withColumns({"_x": text.normalize(F.col("a_name")), "_y": text.normalize(F.col("b_name"))})
-    return named.withColumns(
+    return pairs_.withColumns(
         {
             "same_brand": F.col("a_brand") == F.col("b_brand"),
-            "alike": text.similarity(F.col("_x"), F.col("_y")),
+            "alike": text.similarity(F.col("a_norm"), F.col("b_norm")),
             "gap": F.abs(F.col("a_size") - F.col("b_size")),
             "price_gap": F.abs(F.col("a_retailprice") - F.col("b_retailprice")),
         }
-    ).drop("_x", "_y")
+    )
 
 
 def part_steps() -> list[Step]:

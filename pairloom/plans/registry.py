@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import geo, temporal, text
 from pairloom.operators import blocking, compare, evaluation, graph, queue, review, scoring, store, sync
+from pairloom.sources.scratch import written
 from pairloom.streaming import limits
 
 QUERIES: dict = {}
@@ -118,14 +119,12 @@ def txt_blocking_key(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", text.blocking_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("key"))
 
 
-_NAMES = "WITH n AS (SELECT DISTINCT p_name AS x FROM part)"
-
-
-@_query("txt_similarity", _NAMES + " SELECT a.x AS a, b.x AS b, CASE WHEN a.x = b.x THEN 1.0::DOUBLE ELSE round(1 - levenshtein(a.x, b.x)::DOUBLE / greatest(length(a.x), length(b.x)), 9) END AS sim FROM n a JOIN n b ON a.x < b.x AND substr(a.x, 1, 1) = substr(b.x, 1, 1)")
+@_query("txt_similarity", "SELECT a.p_partkey, CASE WHEN a.p_name = b.p_name THEN 1.0::DOUBLE ELSE round(1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)), 9) END AS sim FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def txt_similarity(spark: SparkSession, d: str) -> DataFrame:
-    n = _t(spark, d, "part").select(F.col("p_name").alias("x")).distinct()
-    a, b = n.select(F.col("x").alias("a"), F.substring("x", 1, 1).alias("i")), n.select(F.col("x").alias("b"), F.substring("x", 1, 1).alias("i"))
-    return a.join(b, "i").filter("a < b").select("a", "b", F.round(text.similarity(F.col("a"), F.col("b")), 9).alias("sim"))
+    """Each part's name and that of the part after it."""
+    a = _t(spark, d, "part").select("p_partkey", F.col("p_name").alias("a"))
+    b = _t(spark, d, "part").select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b"))
+    return a.join(b, "p_partkey").select("p_partkey", F.round(text.similarity(F.col("a"), F.col("b")), 9).alias("sim"))
 
 
 @_query("txt_best_name", """WITH s AS (SELECT s_nationkey AS k, list(DISTINCT s_name) AS x FROM supplier GROUP BY 1), c AS (SELECT n_nationkey AS k, [n_name, lower(n_name) || ' ltd'] AS y FROM nation)
@@ -139,16 +138,18 @@ def txt_best_name(spark: SparkSession, d: str) -> DataFrame:
 _WORDSET = f"list_distinct(list_filter(string_split({_norm('w')}, ' '), lambda z: z <> ''))"
 
 
-@_query("txt_word_overlap", f"""WITH d AS (SELECT doc_id, lang, source, substr(text, 1, 0) || split_part(text, '.', 1) AS w FROM documents), t AS (SELECT doc_id, lang, source, {_WORDSET} AS ws FROM d)
- SELECT a.doc_id AS a, b.doc_id AS b, CASE WHEN len(a.ws) + len(b.ws) = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws)), 9) END AS dice
- FROM t a JOIN t b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id WHERE a.source <> 'src0'""")
+@_query("txt_word_overlap", f"""WITH t AS (SELECT doc_id, lead(doc_id) OVER w AS next_id FROM documents WINDOW w AS (PARTITION BY lang, source ORDER BY doc_id)),
+ x AS (SELECT t.doc_id AS a, t.next_id AS b, p.text AS w1, q.text AS w2 FROM t JOIN documents p ON p.doc_id = t.doc_id JOIN documents q ON q.doc_id = t.next_id),
+ s AS (SELECT a, b, {_WORDSET.replace("lower(trim(w))", "lower(trim(w1))")} AS ws, {_WORDSET.replace("lower(trim(w))", "lower(trim(w2))")} AS vs FROM x)
+ SELECT a, b, CASE WHEN len(ws) + len(vs) = 0 THEN 0.0::DOUBLE ELSE round(2.0::DOUBLE * len(list_intersect(ws, vs)) / (len(ws) + len(vs)), 9) END AS dice FROM s""")
 def txt_word_overlap(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").filter("source <> 'src0'").withColumn("w", text.words(F.split_part("text", F.lit("."), F.lit(1))))
-    a = docs.select(F.col("doc_id").alias("a"), "lang", "source", F.col("w").alias("wa"))
-    b = docs.select(F.col("doc_id").alias("b"), "lang", "source", F.col("w").alias("wb"))
+    """The whole texts of each document and the next one of its language and source."""
+    docs = _t(spark, d, "documents")
+    t = queue.neighbours(docs.select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", "doc_id").select(F.col("prev_id").alias("b"), F.col("doc_id").alias("a"))
+    a, b = (docs.select(F.col("doc_id").alias(s), text.words(F.col("text")).alias(f"w{s}")) for s in "ab")
     both = F.size("wa") + F.size("wb")
     dice = F.when(both == 0, 0.0).otherwise(2.0 * F.size(F.array_intersect("wa", "wb")) / both)
-    return a.join(b, ["lang", "source"]).filter("a < b").select("a", "b", F.round(dice, 9).alias("dice"))
+    return t.join(a, "a").join(b, "b").select("a", "b", F.round(dice, 9).alias("dice"))
 
 
 @_query("txt_url_compare", r"""WITH u AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN replace(url, 'https://', 'http://') WHEN 2 THEN url || '/' ELSE upper(url) END AS other FROM pages),
@@ -183,9 +184,10 @@ def txt_installment(spark: SparkSession, d: str) -> DataFrame:
 _PHONE = r"(\+?[0-9][0-9 ().-]{7,}[0-9])"
 
 
-@_query("txt_phone_digits", rf"SELECT doc_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(text, '{_PHONE}', 1), '\(0\)', '', 'g'), '[^0-9]', '', 'g'), '^00', ''), '') AS digits FROM documents")
+@_query("txt_phone_digits", rf"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '{_PHONE}', 1), lambda p: regexp_replace(regexp_replace(regexp_replace(p, '\(0\)', '', 'g'), '[^0-9]', '', 'g'), '^00', '')), ',') AS digits FROM documents")
 def txt_phone_digits(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", text.phone_digits(F.regexp_extract("text", _PHONE, 1)).alias("digits"))
+    found = F.transform(F.regexp_extract_all("text", F.lit(_PHONE), 1), text.phone_digits)
+    return _t(spark, d, "documents").select("doc_id", F.array_join(found, ",").alias("digits"))
 
 
 @_query("txt_title_years", r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\b([12][0-9]{3})\b', 1), lambda y: y::INT))), ',') AS years FROM documents")
@@ -240,22 +242,11 @@ def cmp_coarse_time(spark: SparkSession, d: str) -> DataFrame:
 _POINT = "({k} * 37 % 170 - 85)::DOUBLE AS lat{s}, ({k} * 53 % 340 - 170)::DOUBLE AS lon{s}"
 
 
-@_query("geo_nearest", f"""WITH s AS (SELECT s_suppkey, s_nationkey, {_POINT.format(k="s_suppkey", s=1)} FROM supplier), c AS (SELECT c_nationkey, c_custkey, {_POINT.format(k="c_custkey", s=2)} FROM customer WHERE c_custkey % 40 = 0),
+@_query("geo_nearest", f"""WITH s AS (SELECT s_suppkey, s_nationkey, {_POINT.format(k="s_suppkey", s=1)} FROM supplier), c AS (SELECT c_nationkey, {_POINT.format(k="c_custkey", s=2)} FROM customer),
  h AS (SELECT s_suppkey, 2 * 6371000.0::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))) AS m FROM s JOIN c ON c_nationkey = s_nationkey)
  SELECT s_suppkey, round(min(m))::BIGINT AS metres FROM h GROUP BY 1""")
 def geo_nearest(spark: SparkSession, d: str) -> DataFrame:
-    def point(k: str) -> Column:
-        return F.struct((F.col(k) * 37 % 170 - 85).cast("double").alias("lat"), (F.col(k) * 53 % 340 - 170).cast("double").alias("lon"), F.lit("earth").alias("globe"))
-    s = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.array(point("s_suppkey")).alias("x"))
-    c = _t(spark, d, "customer").filter("c_custkey % 40 = 0").groupBy("c_nationkey").agg(F.collect_list(point("c_custkey")).alias("y"))
-    return s.join(c, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", F.round(geo.nearest(F.col("x"), F.col("y"))).cast("long").alias("metres"))
-
-
-@_query("geo_nearest_all", f"""WITH s AS (SELECT s_suppkey, s_nationkey, {_POINT.format(k="s_suppkey", s=1)} FROM supplier), c AS (SELECT c_nationkey, {_POINT.format(k="c_custkey", s=2)} FROM customer),
- h AS (SELECT s_suppkey, 2 * 6371000.0::DOUBLE * asin(least(1.0, sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))) AS m FROM s JOIN c ON c_nationkey = s_nationkey)
- SELECT s_suppkey, round(min(m))::BIGINT AS metres FROM h GROUP BY 1""")
-def geo_nearest_all(spark: SparkSession, d: str) -> DataFrame:
-    """As geo_nearest, over every customer: distinct points of a nation, and the least distance for each supplier."""
+    """Distinct points of a nation's customers, and the least distance for each supplier."""
     def point(k: str, i: int) -> list[Column]:
         return [(F.col(k) * 37 % 170 - 85).cast("double").alias(f"lat{i}"), (F.col(k) * 53 % 340 - 170).cast("double").alias(f"lon{i}")]
     s = _t(spark, d, "supplier").select("s_suppkey", "s_nationkey", *point("s_suppkey", 1))
@@ -267,19 +258,9 @@ def geo_nearest_all(spark: SparkSession, d: str) -> DataFrame:
 # --- comparison and scoring -------------------------------------------------------------------
 
 
-@_query("cmp_sets", """WITH b AS (SELECT l_suppkey AS k, list_sort(list(DISTINCT p_brand)) AS s FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 7 GROUP BY 1)
+@_query("cmp_sets", """WITH b AS (SELECT l_suppkey AS k, list_sort(list(DISTINCT p_brand)) AS s FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
  SELECT x.k AS a, y.k AS b, CASE WHEN x.s = y.s THEN 'identical' WHEN len(list_intersect(x.s, y.s)) = 0 THEN 'distinct' ELSE 'similar' END AS status FROM b x JOIN b y ON y.k = x.k + 1""")
 def cmp_sets(spark: SparkSession, d: str) -> DataFrame:
-    li = _t(spark, d, "lineitem").filter("l_linenumber = 7").join(_t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    b = li.groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_set("p_brand").alias("s"))
-    x, y = b.select(F.col("k").alias("a"), F.col("s").alias("sa")), b.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-    return x.join(y, F.col("b") == F.col("a") + 1).select("a", "b", compare.compare_sets(F.col("sa"), F.col("sb"), compare.compare_exact).alias("status"))
-
-
-@_query("cmp_sets_all", """WITH b AS (SELECT l_suppkey AS k, list_sort(list(DISTINCT p_brand)) AS s FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
- SELECT x.k AS a, y.k AS b, CASE WHEN x.s = y.s THEN 'identical' WHEN len(list_intersect(x.s, y.s)) = 0 THEN 'distinct' ELSE 'similar' END AS status FROM b x JOIN b y ON y.k = x.k + 1""")
-def cmp_sets_all(spark: SparkSession, d: str) -> DataFrame:
-    """As cmp_sets, over every line."""
     li = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     b = li.groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_set("p_brand").alias("s"))
     x, y = b.select(F.col("k").alias("a"), F.col("s").alias("sa")), b.select(F.col("k").alias("b"), F.col("s").alias("sb"))
@@ -324,9 +305,14 @@ _SCORED = _PAIRS + f""", v AS (SELECT pr.a, pr.b, x.p_brand = y.p_brand AS brand
    CASE WHEN gap >= 2 AND gap < 10 THEN 'sizes differ' END, CASE WHEN price > 200 THEN 'prices differ' END) AS reasons, t1, t2, t3, t4, t5, t6, t7, t8 FROM s9)"""
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Written, since a filter on the score would otherwise be pushed into the fold and repeat its steps."""
+    return written(scoring.score_parts(_t(spark, d, "part")), "scored")
+
+
 @_query("score_pairs", _SCORED + " SELECT merged_from, merged_into, confidence, reasons FROM sc WHERE confidence >= 0.4")
 def score_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.score_parts(_t(spark, d, "part")).filter("confidence >= 0.4")
+    return _scored(spark, d).filter("confidence >= 0.4")
 
 
 @_query("score_trace", _SCORED + " SELECT merged_from, merged_into, " + ", ".join(f"round(t{n}, 6) AS t{n}" for n in (1, 3, 5, 7, 8)) + " FROM sc")
@@ -338,7 +324,7 @@ def score_trace(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("score_bands", _SCORED + " SELECT CASE WHEN confidence >= 0.8 THEN '0.8' WHEN confidence >= 0.7 THEN '0.7' WHEN confidence >= 0.6 THEN '0.6' WHEN confidence >= 0.5 THEN '0.5' ELSE '0.4' END AS band, count(*) AS n FROM sc WHERE confidence >= 0.4 GROUP BY 1")
 def score_bands(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.bands(scoring.score_parts(_t(spark, d, "part")), F.col("confidence"), [0.4, 0.5, 0.6, 0.7, 0.8])
+    return evaluation.bands(_scored(spark, d), F.col("confidence"), [0.4, 0.5, 0.6, 0.7, 0.8])
 
 
 # --- the store --------------------------------------------------------------------------------
@@ -352,7 +338,7 @@ _OLD = _SCORED + f""", al AS (SELECT *, merged_from || '-' || merged_into AS id
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all scored, an older store, this run's candidates)."""
     ident = F.concat_ws("-", "merged_from", "merged_into")
-    al = scoring.score_parts(_t(spark, d, "part")).withColumn("id", ident)
+    al = _scored(spark, d).withColumn("id", ident)
     s = _bucket(F.concat("id", F.lit("s")), 8)
     status = F.when(s == 0, "dismissed").when(s == 1, "merged").when(s == 2, "merging").otherwise("open")
     old = al.filter(_bucket(F.col("id"), 3) > 0).select("merged_from", "merged_into", F.lit(0.5).alias("confidence"), F.lit("old").alias("reasons"), status.alias("status"))
@@ -494,9 +480,12 @@ def queue_types(spark: SparkSession, d: str) -> DataFrame:
     return queue.list_rows(part, sort="p_size", id_="p_partkey", types=(["p_type", "p_brand"], list(row)))[1].select("p_partkey")
 
 
-@_query("queue_mine", "SELECT o_orderkey FROM orders WHERE false")
+@_query("queue_mine", "SELECT o_orderkey, 'known' AS viewer FROM orders WHERE o_orderpriority = '1-URGENT'")
 def queue_mine(spark: SparkSession, d: str) -> DataFrame:
-    return queue.list_rows(_t(spark, d, "orders"), sort="o_totalprice", id_="o_orderkey", mine=("o_orderpriority", None))[0].select("o_orderkey")
+    """What a known viewer sees of their own, and one who is not known: nothing."""
+    o = _t(spark, d, "orders")
+    seen = [queue.list_rows(o, sort="o_totalprice", id_="o_orderkey", mine=("o_orderpriority", who))[1].select("o_orderkey", F.lit(name).alias("viewer")) for who, name in (("1-URGENT", "known"), (None, "unknown"))]
+    return seen[0].unionByName(seen[1])
 
 
 @_query("queue_lang", "SELECT doc_id FROM documents WHERE doc_id % 5 = 0 OR (lang IN ('en', 'fr') AND (doc_id % 3 <> 0 OR lang = 'en'))")
@@ -509,7 +498,7 @@ def queue_lang(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("queue_neighbours", "SELECT o_orderkey, lag(o_orderkey) OVER w AS prev_id, lead(o_orderkey) OVER w AS next_id FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey DESC)")
 def queue_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return queue.neighbours(_t(spark, d, "orders"), "o_orderstatus", "o_totalprice", "o_orderkey").select("o_orderkey", "prev_id", "next_id")
+    return queue.neighbours(_t(spark, d, "orders"), ["o_orderstatus"], "o_totalprice", "o_orderkey").select("o_orderkey", "prev_id", "next_id")
 
 
 @_query("queue_neighbours_of", """WITH m AS (SELECT min(o_orderkey) AS id FROM orders), w AS (SELECT o_orderkey, lag(o_orderkey) OVER w AS prev_id, lead(o_orderkey) OVER w AS next_id FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey DESC))
