@@ -28,3 +28,13 @@ def nearest(a: Column, b: Column) -> Column:
     def one(p: Column, q: Column) -> Column:
         return F.when(p["globe"] == q["globe"], distance(p["lat"], p["lon"], q["lat"], q["lon"], radius(p["globe"])))
     return F.array_min(F.flatten(F.transform(a, lambda p: F.transform(b, lambda q: one(p, q)))))
+
+
+def coordinate_text(lat: Column, lon: Column, globe: Column) -> Column:
+    """lat,lon and the globe, which is left out for the Earth; null without a latitude or longitude."""
+    other = F.when(F.coalesce(globe, F.lit("earth")) != "earth", globe)
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.concat_ws(",", lat.cast("string"), lon.cast("string"), other))
+
+
+def known_precision(precision: Column) -> Column:
+    return F.when(precision > 0, precision)

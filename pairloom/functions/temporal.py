@@ -62,3 +62,15 @@ def compare_coarse(ya: Column, pa: Column, yb: Column, pb: Column) -> Column:
 
 def modest_gap_penalty(gap: Column) -> Column:
     return F.least(F.lit(0.35), F.lit(0.25) + (gap - 2).cast("double") / F.lit(30.0))
+
+
+def closest_gap(a: Column, b: Column) -> Column:
+    """The least distance in years over two arrays of years; null if either is empty."""
+    return F.array_min(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.abs(x - y)))))
+
+
+def timestamp_text(c: Column) -> Column:
+    """YYYY-MM-DD hh:mm:ss of a time of fourteen digits or in ISO form; null for others."""
+    digits = F.regexp_replace(c, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3 $4:$5:$6")
+    iso = F.regexp_replace(c, r"^(\d{4}-\d\d-\d\d)[T ](\d\d:\d\d:\d\d)(?:\.\d+)?Z?$", "$1 $2")
+    return F.when(c.rlike(r"^\d{14}$"), digits).when(c.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d+)?Z?$"), iso)

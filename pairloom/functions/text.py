@@ -181,3 +181,46 @@ def fold_native_name(c: Column) -> Column:
         return s.map(one)
 
     return fold(c)
+
+
+def encode_languages(langs: Column) -> Column:
+    """,de,es: every code after a comma, ascending, once; empty for none, null for not known."""
+    return F.array_join(F.transform(F.array_sort(F.array_distinct(langs)), lambda x: F.concat(F.lit(","), x)), "")
+
+
+def normalize_languages(langs: Column, most: int = 50) -> Column:
+    """Language codes in lower case, trimmed, once each, in their order; others are dropped, and so is what exceeds most."""
+    plain = F.transform(langs, lambda x: F.lower(F.trim(x)))
+    return F.slice(F.array_distinct(F.filter(plain, lambda x: x.rlike(r"^[a-z]{2,12}(-[a-z0-9]{1,12})*$"))), 1, most)
+
+
+def normalize_user_name(c: Column) -> Column:
+    """Underscores as spaces, single, trimmed, the first letter a capital; null if nothing is left."""
+    c = F.trim(F.regexp_replace(c, "[_ ]+", " "))
+    return F.nullif(F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2))), F.lit(""))
+
+
+def canonical_json(entries: Column) -> Column:
+    """JSON of a map with its keys in order, so that equal maps give equal texts."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+
+
+def disjoint(a: Column, b: Column) -> Column:
+    """Whether two arrays that both have values share none."""
+    return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
+
+
+def one_within_other(a: Column, b: Column) -> Column:
+    """Whether all values of one array are in the other."""
+    return (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
+
+
+def name_within_name(a: Column, b: Column) -> Column:
+    """Whether a name of one side is a part of one of the other's."""
+    return F.exists(a, lambda x: F.exists(b, lambda y: F.contains(x, y) | F.contains(y, x)))
+
+
+def chunks(values: Column, size: int) -> Column:
+    """An array cut into arrays of size."""
+    n = F.ceil(F.size(values) / size).cast("int")
+    return F.when(n == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(values, i * size + 1, size)))

@@ -53,21 +53,57 @@ def compare_rows(a: Column, b: Column) -> Column:
     return F.transform(keys, row)
 
 
-def value_status(a: Column, b: Column) -> Column:
-    """Status of two tagged values (type, value, unit, globe, latitude, longitude); the first rule that holds decides."""
+#: Properties whose values are phone numbers, and the one whose items are never alike by name. Fixed values.
+PHONES, NOT_BY_NAME = ("P1329", "P2900"), "P21"
+
+
+def value_status(a: Column, b: Column, pid: Column | None = None, level: Column | None = None, labels: tuple[Column, Column] | None = None) -> Column:
+    """Status of two tagged values as snak_value() gives them; the first rule that holds decides.
+
+    pid is the property, level whether one item contains the other (country, local or null), labels
+    the names of two items.
+    """
     from pairloom.functions import geo, temporal
 
-    away = geo.distance(a["latitude"], a["longitude"], b["latitude"], b["longitude"], F.lit(geo.RADIUS["earth"]))
+    pid = F.lit(None).cast("string") if pid is None else pid
+    level = F.lit(None).cast("string") if level is None else level
+    x, y = labels or (F.lit(None).cast("string"),) * 2
+    named_alike = (F.coalesce(pid, F.lit("")) != NOT_BY_NAME) & (text.similarity(text.normalize(x), text.normalize(y)) >= 0.6)
+    away = geo.distance(a["latitude"], a["longitude"], b["latitude"], b["longitude"], F.coalesce(geo.radius(a["globe"]), F.lit(geo.RADIUS["earth"])))
+    pa, pb = F.coalesce(a["time_precision"], F.lit(9)), F.coalesce(b["time_precision"], F.lit(9))
+    coarse = temporal.compare_coarse(temporal.part(a["value"], 1), pa, temporal.part(b["value"], 1), pb)
     return (
         F.when(a["type"] != b["type"], "distinct")
         .when(a["type"] == "somevalue", "distinct")
         .when(a["type"] == "novalue", "identical")
         .when((a["type"] == "quantity") & ~a["unit"].eqNullSafe(b["unit"]), "distinct")
         .when((a["type"] == "coordinate") & ~a["globe"].eqNullSafe(b["globe"]), "distinct")
+        .when((a["type"] == "time") & ((pa < 9) | (pb < 9)), coarse)
         .when(a["value"] == b["value"], "identical")
+        .when(a["type"] == "item", F.when(level.isNotNull() | F.coalesce(named_alike, F.lit(False)), "similar").otherwise("distinct"))
         .when(a["type"] == "time", F.regexp_replace(temporal.compare_calendar(a["value"], b["value"]), ":.*", ""))
-        .when(a["type"].isin("item", "quantity", "external-id", "musical-notation"), "distinct")
+        .when(a["type"].isin("quantity", "external-id", "musical-notation"), "distinct")
         .when(a["type"] == "coordinate", F.when(away <= 250, "similar").otherwise("distinct"))
         .when(a["type"] == "url", text.compare_urls(a["value"], b["value"]))
+        .when(pid.isin(*PHONES), F.when(text.same_phone(a["value"], b["value"]), "identical").otherwise("distinct"))
         .otherwise(status(compare_strings(a["value"], b["value"])))
     )
+
+
+def compare_places(a: Column, b: Column, compare) -> Column:
+    """Status of two arrays where compare gives (rank, broad): a value's best is a similar one that is not broad before a broad one.
+
+    distinct if there are values that are not only broadly alike and all of them are distinct.
+    """
+    def best(values: Column, others: Column) -> Column:
+        return F.transform(values, lambda v: F.array_max(F.transform(others, lambda o: compare(v, o)["rank"] * 2 - compare(v, o)["broad"].cast("int"))))
+
+    # 4 identical, 2 similar, 1 similar but broad, 0 distinct
+    each = F.concat(best(a, b), best(b, a))
+    narrow = F.filter(each, lambda r: r != 1)
+    return (
+        F.when(F.forall(each, lambda r: r == 4), "identical")
+        .when((F.size(a) == 0) | (F.size(b) == 0), "one-sided")
+        .when((F.size(narrow) > 0) & F.forall(narrow, lambda r: r == 0), "distinct")
+        .otherwise("similar")
+    )

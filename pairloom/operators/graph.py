@@ -40,3 +40,15 @@ def containment(pairs: DataFrame, paths: DataFrame, countries: DataFrame) -> Dat
     out = out.withColumn("_h", holder).join(c, F.col("_h") == F.col("_c"), "left")
     level = F.when(F.col("x") == F.col("y"), "equal").when(F.col("_h").isNull(), F.lit(None)).when(F.col("_country"), "country").otherwise("local")
     return out.select("x", "y", level.alias("level"))
+
+
+def cross_references(statements: Column, other: Column, dedicated: list[str]) -> Column:
+    """The properties by which an item's statements (property to values) name the other item, but for dedicated ones."""
+    naming = F.map_filter(statements, lambda p, vs: ~p.isin(*dedicated) & F.exists(vs, lambda v: (v["type"] == "item") & (v["value"] == other)))
+    return F.array_sort(F.map_keys(naming))
+
+
+def linked(items: DataFrame) -> DataFrame:
+    """(id): every item that a statement of items names, once."""
+    values = items.select(F.explode(F.map_values("statements")).alias("vs")).select(F.explode("vs").alias("v"))
+    return values.filter("v.type = 'item'").select(F.col("v.value").alias("id")).distinct()

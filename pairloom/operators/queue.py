@@ -117,3 +117,84 @@ def page_bounds(rows: DataFrame, key: str, size: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(key))
     numbered = dealt.withColumn("_rank", rank).join(F.broadcast(counts), F.col("_part") == F.col("_p")).withColumn("_row", F.col("_before") + F.col("_rank"))
     return numbered.filter(F.col("_row") % size == 0).select((F.col("_row") / size).cast("long").alias("page"), F.col(key).alias("upper"))
+
+
+def without_blockers(rows: DataFrame, blocker: str, wanted: bool) -> DataFrame:
+    return rows.filter(~F.col(blocker)) if wanted else rows
+
+
+def by_creator(rows: DataFrame, sides: list[str], creations: DataFrame, user: str) -> DataFrame:
+    """rows of which an item on either side was created by user; creations is (id, user_name)."""
+    own = creations.filter(F.col("user_name") == user).select(F.col("id").alias("_own")).distinct()
+    out = rows
+    for n, side in enumerate(sides):
+        out = out.join(own.select(F.col("_own").alias(f"_own{n}")), F.col(side) == F.col(f"_own{n}"), "left")
+    hit = reduce(lambda x, y: x | y, [F.col(f"_own{n}").isNotNull() for n in range(len(sides))])
+    return out.filter(hit).select(*rows.columns)
+
+
+def fresh(rows: DataFrame, checked_at: str, as_of: Column, days: int) -> DataFrame:
+    """rows checked within days of as_of; those never checked are not fresh."""
+    return rows.filter(F.col(checked_at) >= as_of - F.make_dt_interval(F.lit(days)))
+
+
+def among(rows: DataFrame, wanted: DataFrame, cols: list[str]) -> DataFrame:
+    """rows whose values of cols are a row of wanted."""
+    return rows.join(wanted.select(*cols).distinct(), cols, "left_semi")
+
+
+def identifiers_only(rows: DataFrame, properties: DataFrame, property_: str = "property") -> DataFrame:
+    """rows of properties whose datatype is ExternalId; all of them while no property is known."""
+    if not properties.limit(1).count():
+        return rows
+    known = properties.filter("datatype = 'ExternalId'").select(F.col("pid").alias("_pid"))
+    return rows.join(known, F.col(property_) == F.col("_pid"), "left_semi")
+
+
+def inapplicable(satisfied: Column) -> Column:
+    """Whether every one of the constraints is known to be unsatisfied; null, not known, lets pass, and so does none."""
+    return (F.size(satisfied) > 0) & F.forall(satisfied, lambda s: ~F.coalesce(s, F.lit(True)))
+
+
+def totals(board: DataFrame, cols: list[str]) -> DataFrame:
+    """Sums over all rows, 0 for none."""
+    return board.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in cols])
+
+
+def progress(segments: DataFrame) -> DataFrame:
+    """(done, failed, matched) of segments (done_at, failed, matched)."""
+    return segments.agg(
+        F.count("done_at").alias("done"), F.coalesce(F.sum(F.col("failed").cast("int")), F.lit(0)).alias("failed"), F.coalesce(F.sum("matched"), F.lit(0)).alias("matched")
+    )
+
+
+def latest(rows: DataFrame, by: str, id_: str, cols: list[str]) -> DataFrame:
+    """cols of the row with the highest id of each by."""
+    return rows.groupBy(by).agg(F.max_by(F.struct(*cols), F.col(id_)).alias("_row")).select(by, *[F.col(f"_row.{c}") for c in cols])
+
+
+def by_strength(reasons: Column, strengths: Column) -> Column:
+    """reasons, strongest first, those of one strength in their order."""
+    placed = F.transform(F.arrays_zip(reasons.alias("r"), strengths.alias("s")), lambda x, i: F.struct((-x["s"]).alias("s"), i.alias("i"), x["r"].alias("r")))
+    return F.transform(F.array_sort(placed), lambda x: x["r"])
+
+
+def display_order(rows: DataFrame, demoted: str, tier: str, pid: str) -> DataFrame:
+    """rows in the order of a list of fields: demoted ones last, then by tier, then by the number of the property."""
+    return rows.orderBy(F.col(demoted), F.col(tier), F.regexp_extract(pid, r"(\d+)", 1).try_cast("long").asc_nulls_first(), F.col(pid))
+
+
+def summary(candidates: DataFrame, items: DataFrame) -> DataFrame:
+    """candidates with the labels of both items, and their type if they share it; items is (id, label, type)."""
+    a, b = (items.select(F.col("id").alias(f"_{s}"), F.col("label").alias(f"{s}_label"), F.col("type").alias(f"_{s}_type")) for s in ("from", "into"))
+    out = candidates.join(a, F.col("merged_from") == F.col("_from"), "left").join(b, F.col("merged_into") == F.col("_into"), "left")
+    return out.withColumn("shared_type", F.when(F.col("_from_type") == F.col("_into_type"), F.col("_from_type"))).drop("_from", "_into", "_from_type", "_into_type")
+
+
+def redirect_overlay(clashes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, redirects) of clashing (id, wiki, title): where a page is known to redirect, by wiki; a null target is not known.
+
+    pages is (wiki, title, is_redirect, target).
+    """
+    hit = clashes.join(pages.filter("is_redirect").select("wiki", "title", "target"), ["wiki", "title"])
+    return hit.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("wiki", "target")))).alias("redirects"))

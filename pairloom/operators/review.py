@@ -69,3 +69,32 @@ def sample_bands(rows: DataFrame, value: Column, edges: list[float], n: int, key
         band = F.when(value >= low, F.lit(f"{low:g}")).otherwise(band)
     w = Window.partitionBy("band").orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
     return rows.withColumn("band", band).filter("band is not null").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
+def confirm_picks(candidates: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(low, high, probability) of open candidates whose first pass says different without being trusted, lowest probability first.
+
+    reviews is (low, high, stage, outcome, verdict, probability); a pair that has been confirmed is not picked again.
+    """
+    first = reviews.filter("stage = 'first' and outcome = 'done' and verdict = 'different'").filter(needs_confirmation(F.col("verdict"), F.col("probability")))
+    sure = reviews.filter("stage = 'confirm' and outcome = 'done'").select("low", "high")
+    open_ = candidates.filter("status = 'open'").select(F.least("merged_from", "merged_into").alias("low"), F.greatest("merged_from", "merged_into").alias("high")).distinct()
+    out = first.join(sure, ["low", "high"], "left_anti").join(open_, ["low", "high"], "left_semi")
+    return out.select("low", "high", "probability").orderBy("probability", "low", "high")
+
+
+def month_spend(done: DataFrame, pending: DataFrame, expected: DataFrame, by: str, cost: str, done_at: str, start: Column) -> DataFrame:
+    """(by, spent): what was completed since start, and what pending requests are expected to cost; expected is (by, expected)."""
+    spent = done.filter(F.col(done_at) >= start).groupBy(by).agg(F.sum(cost).alias("_done"))
+    waiting = pending.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).join(expected.select(by, "expected"), by)
+    both = spent.join(waiting, by, "full_outer")
+    return both.select(by, (F.coalesce("_done", F.lit(0.0)) + F.coalesce(F.col("_n") * F.col("expected"), F.lit(0.0))).alias("spent"))
+
+
+def oldest(requests: DataFrame, batch: str, created_at: str) -> DataFrame:
+    return requests.groupBy(batch).agg(F.min(created_at).alias("oldest"))
+
+
+def outcome_counts(reviews: DataFrame, stage: str, outcome: str, outcomes: list[str]) -> DataFrame:
+    """A row for each stage, a column for each outcome."""
+    return reviews.groupBy(stage).agg(*[F.count_if(F.col(outcome) == o).alias(o) for o in outcomes])

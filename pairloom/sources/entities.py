@@ -16,7 +16,7 @@ MAX_SKIPPED = 100
 MAX_ID_LENGTH = 512
 
 
-def scan(spark: SparkSession, path: str, classes: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str, classes: list[str] | None = None, known: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Entities of a dump of one JSON object a line between brackets.
 
     Lines that do not mention a wanted class, and those whose (id, lastrevid) known has already,
@@ -32,6 +32,8 @@ def scan(spark: SparkSession, path: str, classes: list[str] | None = None, known
     if known is not None:
         key = raw.withColumn("id", F.regexp_extract("line", r'"id":"(Q\d+)"', 1)).withColumn("lastrevid", F.regexp_extract("line", r'"lastrevid":(\d+)', 1).try_cast("long"))
         raw = key.join(known.select("id", "lastrevid"), ["id", "lastrevid"], "left_anti").select("line")
+    if limit is not None:  # the feature: a trial run over some lines
+        raw = raw.limit(limit)
     rows = raw.select("line", F.from_json("line", SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e"))
     return rows.select("line", "e.*")
 
@@ -52,22 +54,36 @@ def best_rank(statements: Column) -> Column:
 
 
 def snak_value(s: Column) -> Column:
-    """(type, value) of a main snak; null if it has no value of a known form."""
+    """(type, value, unit, globe, latitude, longitude, time_precision) of a main snak; null if it has no value of a known form.
+
+    The unit is that of a quantity that has one, the globe that of a place that is not on the Earth,
+    the precision that of a time coarser than a year.
+    """
     v, kind, data = s["datavalue"]["value"], s["datavalue"]["type"], s["datatype"]
     def field(name: str) -> Column:
         return F.get_json_object(v, f"$.{name}")
-    def out(t: Column | str, x: Column) -> Column:
-        return F.struct((F.lit(t) if isinstance(t, str) else t).alias("type"), x.alias("value"))
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    def out(t: Column | str, x: Column, unit: Column = text, globe: Column = text, lat: Column = number, lon: Column = number, precision: Column | None = None) -> Column:
+        kept = F.lit(None).cast("int") if precision is None else precision
+        return F.struct(
+            (F.lit(t) if isinstance(t, str) else t).alias("type"), x.alias("value"), unit.alias("unit"), globe.alias("globe"),
+            lat.alias("latitude"), lon.alias("longitude"), kept.alias("time_precision"),
+        )
+    from pairloom.functions.geo import coordinate_text
     from pairloom.functions.temporal import at_precision
 
-    point = F.concat_ws(",", field("latitude"), field("longitude"))
+    lat, lon = field("latitude").try_cast("double"), field("longitude").try_cast("double")
+    on = F.nullif(F.regexp_extract(field("globe"), r"(Q\d+)$", 1), F.lit(""))
+    globe = F.when(on != "Q2", on)
+    unit = F.nullif(F.regexp_extract(field("unit"), r"(Q\d+)$", 1), F.lit(""))
+    precision = field("precision").try_cast("int")
     return (
         F.when(s["snaktype"].isin("somevalue", "novalue"), out(s["snaktype"], F.lit("")))
         .when(kind == "wikibase-entityid", out("item", field("id")))
-        .when(kind == "time", out("time", at_precision(field("time"), field("precision").cast("int"))))
-        .when(kind == "quantity", out("quantity", F.regexp_replace(field("amount"), r"^\+", "")))
+        .when(kind == "time", out("time", at_precision(field("time"), precision), precision=F.when(precision < 9, precision)))
+        .when(kind == "quantity", out("quantity", F.regexp_replace(field("amount"), r"^\+", ""), unit=unit))
         .when(kind == "monolingualtext", out("string", field("text")))
-        .when(kind == "globecoordinate", out("coordinate", point))
+        .when(kind == "globecoordinate", out("coordinate", coordinate_text(lat, lon, globe), globe=globe, lat=lat, lon=lon))
         .when(kind == "string", out(F.when(data.isin("external-id", "url", "musical-notation"), data).otherwise(F.lit("string")), v))
     )
 
@@ -107,3 +123,28 @@ def external_ids(items: DataFrame) -> DataFrame:
 def item_values(items: DataFrame, properties: list[str]) -> DataFrame:
     rows = items.select("id", F.explode("statements").alias("property", "vs")).filter(F.col("property").isin(*properties))
     return rows.select("id", "property", F.explode("vs").alias("v")).filter("v.type = 'item'").select("id", "property", "v.value").distinct()
+
+
+def property_rows(entities: DataFrame) -> DataFrame:
+    """(pid, label, datatype, formatter) of property entities that have an English label; formatter: the first of P1630."""
+    rows = entities.filter("type = 'property'").withColumn("_f", F.get(best_rank(F.try_element_at("claims", F.lit("P1630"))), 0))
+    label = F.try_element_at("labels", F.lit("en"))["value"]
+    return rows.filter(label.isNotNull()).select(F.col("id").alias("pid"), label.alias("label"), "datatype", F.col("_f.mainsnak.datavalue.value").alias("formatter"))
+
+
+def selective(items: DataFrame, classes: list[str], linked: DataFrame, occupations: list[str], identifiers: list[str]) -> DataFrame:
+    """items, of those of classes only such as are linked, have one of the occupations (P106) or an identifier of the list."""
+    def any_item(pid: str, wanted: list[str]) -> Column:
+        return F.coalesce(F.exists(F.try_element_at("statements", F.lit(pid)), lambda v: (v["type"] == "item") & v["value"].isin(*wanted)), F.lit(False))
+
+    own = F.arrays_overlap(F.map_keys("statements"), F.array(*map(F.lit, identifiers))) if identifiers else F.lit(False)
+    known = linked.select(F.col("id").alias("_linked")).distinct()
+    out = items.join(known, F.col("id") == F.col("_linked"), "left")
+    return out.filter(~any_item("P31", classes) | F.col("_linked").isNotNull() | any_item("P106", occupations) | own).drop("_linked")
+
+
+def restamp(sync: DataFrame, seen: DataFrame, stamp: str) -> DataFrame:
+    """sync (id, lastrevid, stamp) with a new stamp on the revisions in seen (id, lastrevid), which were not parsed again."""
+    hit = seen.select("id", "lastrevid", F.lit(True).alias("_seen")).distinct()
+    out = sync.join(hit, ["id", "lastrevid"], "left")
+    return out.withColumn("stamp", F.when(F.col("_seen"), F.lit(stamp)).otherwise(F.col("stamp"))).drop("_seen")
