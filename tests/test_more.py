@@ -155,7 +155,7 @@ def test_broad_matches(spark):
 
     places = lambda a, b: one(spark, compare.compare_places(ints(*a), ints(*b), place))
     assert [places([1], [1]), places([5], [6]), places([1, 3], [9]), places([], [1]), places([1], [4])] == ["identical", "similar", "similar", "one-sided", "distinct"]
-    assert places([1, 9], [4]) == "similar" and places([1, 2], [2, 9]) == "similar" and places([], []) == "identical"
+    assert places([1, 9], [4]) == "distinct" and places([1, 2], [2, 9]) == "similar" and places([], []) == "identical"
 
 
 SNAK = "struct<snaktype:string,property:string,datatype:string,datavalue:struct<type:string,value:string>>"
