@@ -112,7 +112,8 @@ def fingerprint_chain(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint beside those of its edited text and of the next row in descending doc_id order.
 
     After the last row comes the first; null ids are last, and rows with one id are ordered by
-    their texts' hash. Null texts are empty. The rows are dealt in ranges of ids and sorted; each
+    their texts' hash. Null texts are empty, very long ones are read whole, an empty table gives an
+    empty result, and columns but doc_id and text are not read, whatever their names. The rows are dealt in ranges of ids and sorted; each
     range also gets the first row of the next, so nothing but these few rows is written on the way.
     """
     spark = docs.sparkSession
@@ -152,6 +153,7 @@ def spot_matches(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFr
     (a, b, likeness) over classes, a < b. Sets are partitioned by length, such that a set matches
     within its own and the next partition only, and two sets are compared if they share one of the
     rarest signatures of each, which alike sets always do. Texts without signatures form one class.
+    A class whose rows have no id has none either, and keeps its pairs, with its side null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,24 +163,27 @@ def spot_matches(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFr
 
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sigs array<long>")
     sets = materialise(sets, "spot-sets")
-    classes = materialise(sets.groupBy("sigs").agg(F.min("doc_id").alias("class_id")), "spot-classes")
-    membership = sets.join(classes.withColumnRenamed("sigs", "_sigs"), F.col("sigs") == F.col("_sigs")).select("doc_id", "class_id")
+    # A class is named by the hash of its set within; ids may be null or shared.
+    sets = sets.withColumn("k", F.xxhash64("sigs"))
+    classes = materialise(sets.groupBy("sigs", "k").agg(F.min("doc_id").alias("class_id")), "spot-classes")
+    names = classes.select(F.col("k").alias("_k"), "class_id")
+    membership = sets.join(names, F.col("k") == F.col("_k")).select("doc_id", "class_id")
     n = F.size("sigs")
-    ranked = classes.filter(n > 0).select("class_id", n.alias("n"), F.explode("sigs").alias("sig"))
+    ranked = classes.filter(n > 0).select("k", n.alias("n"), F.explode("sigs").alias("sig"))
     df = ranked.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    ranked = ranked.join(df, "sig").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("by_df"))
+    ranked = ranked.join(df, "sig").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("by_df"))
     part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / least))).cast("int")
     prefix = F.slice("by_df", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
-    keyed = ranked.select("class_id", "n", part.alias("part"), F.explode(prefix.getField("sig")).alias("sig"))
-    left = keyed.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "part", "sig")
-    right = keyed.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "sig")
+    keyed = ranked.select("k", "n", part.alias("part"), F.explode(prefix.getField("sig")).alias("sig"))
+    left = keyed.select(F.col("k").alias("a"), F.col("n").alias("na"), "part", "sig")
+    right = keyed.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "sig")
     near = left.join(right, ["part", "sig"]).filter("a <> b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x, y = (classes.select(F.col("class_id").alias(c), F.col("sigs").alias(f"s{c}")) for c in "ab")
+    x, y = (classes.select(F.col("k").alias(c), F.col("sigs").alias(f"s{c}"), F.struct(F.col("class_id").isNull().alias("last"), F.col("class_id").alias("id")).alias(f"i{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     alike = both / (F.size("sa") + F.size("sb") - both)
-    pairs = near.join(x, "a").join(y, "b").select("a", "b", alike.alias("likeness")).filter(F.col("likeness") >= least - 1e-12)
-    return membership, pairs
+    pairs = near.join(x, "a").join(y, "b").select(F.least("ia", "ib")["id"].alias("a"), F.greatest("ia", "ib")["id"].alias("b"), alike.alias("likeness"))
+    return membership, pairs.filter(F.col("likeness") >= least - 1e-12)
 
 
 def op8_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -363,8 +363,18 @@ def test_classifiers_edges(spark, edge, empty):
         got = score(edge, fit(edge, none)).collect()
         assert len(got) == len(_edge_rows()) and {r.score for r in got} == {0.0}
         assert score(empty, fit(empty, none)).count() == 0
+    r = random.Random(6)
+    bad = [" ".join([f"w{r.randrange(10**5)}" for _ in range(20)] + ["worthless scum"] * (i % 2) + [f"w{r.randrange(10**5)}" for _ in range(20)]) for i in range(150)]
+    model = toxicity.ToxicityModel([(i, t, i % 2) for i, t in enumerate(bad)])
+    got = toxicity.score_toxicity(edge, model).collect()
+    assert model.calibration is not None and len(got) == len(_edge_rows()) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id in (0, 1, 2, 77)}) == 1 and len({r.score for r in got if r.doc_id == 5}) == 1
+    assert model.score(bad[1]) > 0.5 > model.score(bad[0])
+    assert toxicity.score_toxicity(empty, model).count() == 0
     model = quality.QualityModel([(i, "good plain words here" if i % 2 else "BAD!! BAD!! ###", i % 2) for i in range(60)])
     assert quality.score_quality(edge, model).filter("score is null").count() == 0
+    kept, scores = quality.keep_good(edge, model), [r.score for r in quality.score_quality(edge, model).collect()]
+    assert kept.columns == edge.columns and kept.count() == sum(s >= quality.PREDICT_FROM for s in scores) and quality.keep_good(empty, model).count() == 0
 
 
 # --- 8: SpotSigs ------------------------------------------------------------------------------
@@ -396,6 +406,36 @@ def test_matches_equal_brute_force(docs):
     assert {(r.a, r.b) for r in pairs.collect()} == want
 
 
+def test_matches_of_null_and_repeated_ids(spark):
+    words = "the house of stone and the garden of roses in the middle of a town with many streets by the river".split() * 3
+    a, b = " ".join(f"{w}{i // 7}" if i % 3 else w for i, w in enumerate(words)), None
+    b = a + " the end of it"
+    rows = [(None, a, None, None, None, None, None, None), (4, b, None, None, None, None, None, None), (4, "quite another text of the same id", None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, COLS)
+    membership, pairs = spotsigs.spot_matches(df, 0.6)
+    assert [(r.a, r.b) for r in pairs.collect()] == [(4, None)]
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in membership.collect()) == [(0, 0), (4, 4), (4, 4)]
+    none = spotsigs.spot_matches(df.limit(0))
+    assert none[0].count() == none[1].count() == 0
+
+
+def _plain_signatures(text):
+    """SpotSigs by the book: for each anchor the next two content words."""
+    words = re.findall(r"\w+", (text or "").lower())
+    out = set()
+    for i, w in enumerate(words):
+        if w in spotsigs.ANCHORS:
+            chain = [x for x in words[i + 1 :] if x not in spotsigs.ANCHORS][:2]
+            if chain:
+                out.add(zlib.crc32(" ".join([w, *chain]).encode()))
+    return out or {zlib.crc32(" ".join(words[i : i + 2]).encode()) for i in range(len(words))}
+
+
+def test_signatures_by_the_book(docs, edge):
+    for _, t in [*texts(docs.limit(60)), *[x for x in texts(edge) if len(x[1] or "") < 9000]]:
+        assert spotsigs.signatures(t) == _plain_signatures(t)
+
+
 # --- 9: pages ---------------------------------------------------------------------------------
 
 
