@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,15 +53,37 @@ def _trained(size: int, samples: list[bytes]) -> bytes:
         return b"".join(dict.fromkeys(samples))[:size]
 
 
-def _different(texts: list[list[bytes]]) -> list[list[bytes]]:
-    """texts without those of whose word triples over a fifth were in earlier ones."""
-    seen: set[bytes] = set()
+class _Seen:
+    """A growing set of numbers, as sorted arrays each over twice as long as the next: eight bytes a number."""
+
+    def __init__(self):
+        self._levels: list[np.ndarray] = []
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(x), bool)
+        for level in self._levels:
+            found |= level[np.minimum(np.searchsorted(level, x), len(level) - 1)] == x
+        return found
+
+    def add(self, x: np.ndarray) -> None:
+        """x is sorted, without repeats, and new."""
+        while self._levels and len(self._levels[-1]) <= 2 * len(x):
+            x = np.sort(np.concatenate([self._levels.pop(), x]))
+        if len(x):
+            self._levels.append(x)
+
+
+def _different(texts: list[bytes]) -> list[bytes]:
+    """texts without those of whose word triples over a fifth were in earlier ones; triples are told apart by their XXH64."""
+    seen = _Seen()
     out = []
-    for words in texts:
-        triples = {b" ".join(t) for t in zip(words, words[1:], words[2:], strict=False)}
-        if not triples or len(triples & seen) <= 0.2 * len(triples):
-            seen |= triples
-            out.append(words)
+    for text in texts:
+        words = text.split()
+        triples = np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(t)) for t in zip(words, words[1:], words[2:], strict=False)), np.uint64))
+        new = triples[~seen.has(triples)]
+        if not len(triples) or len(triples) - len(new) <= 0.2 * len(triples):
+            seen.add(new)
+            out.append(text)
     return out
 
 
@@ -74,33 +97,75 @@ def _mers(data: bytes) -> np.ndarray:
     return out
 
 
-def _apart(texts: list[list[bytes]], others: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(strings, weights): what is in several of texts and, as a share, in under a quarter as many of others."""
+def _text_mers(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The distinct strings of each text, sorted."""
+    return (np.unique(_mers(b" " + t + b" ")) for t in texts)
 
-    def counts(some: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate([np.unique(_mers(b" " + b" ".join(w) + b" ")) for w in some]), return_counts=True)
 
-    (mine, n), (known, m) = counts(texts), counts(others)
-    at = np.minimum(np.searchsorted(known, mine), len(known) - 1) if len(known) else np.zeros(len(mine), np.int64)
-    m = np.where(known[at] == mine, m[at], 0) if len(known) else np.zeros(len(mine), np.int64)
+def _counts(texts: list[bytes], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(strings, number of texts that have each), summed up whenever most strings have come together."""
+    known, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    held: list[np.ndarray] = []
+    size = 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        more, m = np.unique(np.concatenate(held), return_counts=True)
+        at = np.searchsorted(known, more)
+        old = known[np.minimum(at, len(known) - 1)] == more if len(known) else np.zeros(len(more), bool)
+        n[at[old]] += m[old]
+        return np.insert(known, at[~old], more[~old]), np.insert(n, at[~old], m[~old])
+
+    for mers in _text_mers(texts):
+        held.append(mers)
+        size += len(mers)
+        if size >= max(most, len(known) // 2):
+            known, n = merged()
+            held, size = [], 0
+    return merged() if held else (known, n)
+
+
+def _apart(texts: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(strings, weights): what is in several of texts and, as a share, in under a quarter as many of others."""
+    mine, n = _counts(texts)
+    several = n >= max(3, len(texts) // 100)
+    mine, n = mine[several], n[several]
+    if not len(mine):
+        return mine, np.empty(0)
+    m = np.zeros(len(mine), np.int64)
+    for mers in _text_mers(others):  # only those in question are counted
+        at = np.minimum(np.searchsorted(mine, mers), len(mine) - 1)
+        m[at[mine[at] == mers]] += 1
     ratio = np.log((n + 0.5) / (len(texts) + 1)) - np.log((m + 0.5) / (len(others) + 1))
-    good = (n >= max(3, len(texts) // 100)) & (ratio > np.log(4))
+    good = ratio > np.log(4)
     return mine[good], (ratio * np.sqrt(n))[good]
 
 
-def _setting_apart(texts: list[list[bytes]], others: list[list[bytes]], size: int) -> bytes:
-    """Windows of texts that hold most of what is not in others, for their length, the best last; each string counts once."""
-    mers, weight = _apart(texts, others)
-    if not len(mers):
-        return b""
-    pieces = sorted({b" " + b" ".join(w[i : i + _PIECE_WORDS]) + b" " for w in texts for i in range(max(1, len(w) - _PIECE_WORDS + 1))})
+def _places(pieces: list[bytes], mers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(string, piece) by number: where mers are inside pieces."""
     length = np.array([len(p) for p in pieces])
     found = _mers(b"".join(pieces))
     end = np.cumsum(length)
     own = np.repeat(np.arange(len(pieces)), length)[: len(found)]
     at = np.minimum(np.searchsorted(mers, found), len(mers) - 1)
     inside = (mers[at] == found) & (np.arange(len(found)) + _MER <= end[own])
-    at, own = at[inside], own[inside]
+    return at[inside], own[inside]
+
+
+def _setting_apart(texts: list[bytes], others: list[bytes], size: int) -> bytes:
+    """Windows of texts that hold most of what is not in others, for their length, the best last; each string counts once."""
+    mers, weight = _apart(texts, others)
+    if not len(mers):
+        return b""
+    kept: set[bytes] = set()
+    for text in texts:  # windows without such a string are never chosen
+        w = text.split()
+        own = list({b" " + b" ".join(w[i : i + _PIECE_WORDS]) + b" " for i in range(max(1, len(w) - _PIECE_WORDS + 1))})
+        kept.update(own[k] for k in np.unique(_places(own, mers)[1]))
+    pieces = sorted(kept)
+    if not pieces:
+        return b""
+    length = np.array([len(p) for p in pieces])
+    at, own = _places(pieces, mers)
     out: list[bytes] = []
     while len(at) and sum(map(len, out)) < size:
         score = np.bincount(own, weight[at], minlength=len(pieces)) / (length + 4)
@@ -120,7 +185,8 @@ class ToxicityModel:
 
     def __init__(self, labelled: list[tuple[int, str, int]], share: float | None = None):
         self._both = self.calibration = None
-        rows = [(hash_order(d) % 3, _words(t), y) for d, t, y in labelled]
+        # Texts are kept in one piece: a list of their words takes several times their size on the driver.
+        rows = [(hash_order(d) % 3, b" ".join(_words(t)), y) for d, t, y in labelled]
         # A third of the texts is kept for the calibration.
         toxic = _different([w for k, w, y in rows if y and k])
         ordinary = _different([w for k, w, y in rows if not y and k])
@@ -128,9 +194,9 @@ class ToxicityModel:
         rest = [(w, y) for k, w, y in rows if not k]
         if not toxic or not ordinary or len({y for _, y in rest}) < 2:
             return
-        self.ordinary = _trained(ORDINARY_BYTES, [x for t in ordinary for x in _windows(t)])
+        self.ordinary = _trained(ORDINARY_BYTES, [x for t in ordinary for x in _windows(t.split())])
         self.toxic = _setting_apart(toxic, ordinary, TOXIC_BYTES)
-        x = np.array([self._features(w) for w, _ in rest])
+        x = np.array([self._features(w.split()) for w, _ in rest])
         self.calibration = fit_logistic(x, np.array([y for _, y in rest], float), share=share)
 
     def __getstate__(self) -> dict:

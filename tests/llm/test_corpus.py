@@ -357,6 +357,21 @@ def test_toxicity_on_held_out(spark):
     assert np.mean([(a > other).mean() + (a == other).mean() / 2 for a in toxic]) >= 0.75
 
 
+def test_toxicity_is_fitted_in_little_memory():
+    import tracemalloc
+
+    r = random.Random(7)
+    words = [f"w{r.randrange(10**6)}" for _ in range(20_000)]
+    some = [(i, " ".join(r.choices(words, k=1200) + ["worthless scum"] * (i % 2)), i % 2) for i in range(600)]
+    size = sum(len(t) for _, t, _ in some)
+    tracemalloc.start()
+    model = toxicity.ToxicityModel(some)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 6 times the texts when this was written; lists of words and sets of triples took 40 times.
+    assert model.calibration is not None and b"worthless scum" in model.toxic and peak < 18 * size
+
+
 def test_classifiers_edges(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for fit, score in ((quality.fit_quality, quality.score_quality), (toxicity.fit_toxicity, toxicity.score_toxicity)):
