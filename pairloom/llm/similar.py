@@ -4,11 +4,11 @@ The covering masks of simhash.py propose every pair whose fingerprints differ in
 Texts that share 0.8 of their shingles differ in ten bits on average, which no affordable number of
 masks covers; so MinHash bands propose those as well: at a similarity of 0.8 a pair shares none of
 40 bands of 6 five times in a million. Every proposed pair is confirmed by the exact similarity of
-the two sets. Within a bucket all members are first compared with one representative, another one
-for each table and round. Afterwards all pairs that no link has joined yet are compared in buckets
-of up to SMALL members. Larger buckets are not compared pair by pair, which would take time in
-proportion to the square of a group: a link there is missed if none of the tables and rounds gave a
-representative that joins its ends. See the README for what that loses on the check data.
+the two sets. Within a bucket all members are first
+compared with one representative, another one for each table and round. Afterwards all pairs that no
+link has joined yet are compared: in buckets of up to SMALL members as pairs, each pair once for all
+its buckets; in larger ones inside tasks, on two blocks of the bucket at a time, where postings of
+shingles count what a set shares with all others at once. No pair of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, BAND_ROWS = 40, 6
 #: Rounds in which members of a bucket are compared with one representative.
 ROUNDS = 4
-#: Members up to which those of a bucket that are not all linked by then are all compared with one another.
+#: Members up to which those of a bucket that are not all linked by then are written as pairs; larger ones go through blocks.
 SMALL = 64
+#: Shingles of a block, about; two blocks of a bucket meet in a task.
+BLOCK = 1 << 19
 _MUL, _ADD = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
 _MUL |= np.uint64(1)
 
@@ -105,8 +107,62 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-def similar_edges(distinct: DataFrame, least: float = LEAST, rounds: int = ROUNDS) -> DataFrame:
-    """(u, v) over distinct sets (node, bands, text): pairs of a similarity of least or more; see the module for which."""
+def links(roots: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of places that join what is alike among sets of distinct numbers; equal roots are joined already.
+
+    With the roots they have the components of all pairs of a similarity of least or more.
+    """
+    label = np.unique(roots, return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    posted = owner[np.argsort(token, kind="stable")]
+    end = np.cumsum(np.bincount(token))
+    begin = np.concatenate([[0], end[:-1]])
+    at = np.concatenate([[0], np.cumsum(size)])
+    # The members of the most frequent root need not look for others: the others find them.
+    seeking = np.flatnonzero(label != np.bincount(label).argmax())
+    out = []
+    for x in seeking.tolist():
+        mine = token[at[x] : at[x + 1]]
+        both = np.bincount(np.concatenate([posted[b:e] for b, e in zip(begin[mine].tolist(), end[mine].tolist(), strict=True)]), minlength=len(sets))
+        for y in np.flatnonzero((both / (size + size[x] - both) >= least) & (label != label[x])).tolist():
+            if label[y] != label[x]:
+                out.append((x, y))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def _large_edges(large: DataFrame, texts: DataFrame, least: float, block: int) -> DataFrame:
+    """(u, v) with the components of all links between members (t, key, node, root) of a bucket.
+
+    A bucket is split by hash into blocks of about block shingles, any two of which meet in a task.
+    """
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+            sets = [shingle_set(t.as_py()).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "size", "shingles"])
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes, roots = (group.column(c).to_numpy() for c in ("node", "root"))
+        found = links(roots, [s.values.to_numpy() for s in group.column("shingles")], least)
+        u, v = (nodes[[p[k] for p in found]] for k in (0, 1))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    sets = texts.join(large.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(to_sets, "node long, size long, shingles array<long>")
+    sets = materialise(sets, "similar-sets")
+    blocks = large.join(sets.select("node", "size"), "node").groupBy("t", "key").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node", F.lit(-1)), F.col("blocks")).cast("int")
+    spread = large.join(blocks, ["t", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("blocks = 1 or own <> other")
+    spread = spread.select("t", "key", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    # Nothing to do where all members in two blocks are joined.
+    split = spread.groupBy("t", "key", "i", "j").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).filter("_least < _most").drop("_least", "_most")
+    return spread.join(split, ["t", "key", "i", "j"]).join(sets.select("node", "shingles"), "node").groupBy("t", "key", "i", "j").applyInArrow(run, "u long, v long")
+
+
+def similar_edges(distinct: DataFrame, least: float = LEAST, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+    """(u, v) over distinct sets (node, bands, text) with the components of all pairs in a bucket of a similarity of least or more."""
     bands = distinct.select("node", F.posexplode("bands").alias("t", "key"))
     shared = materialise(bands.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "similar-shared")
     members = materialise(bands.join(shared, ["t", "key"]), "similar-members")
@@ -121,9 +177,13 @@ def similar_edges(distinct: DataFrame, least: float = LEAST, rounds: int = ROUND
         if k < rounds:
             pairs = at.join(split, ["t", "key"]).filter("root <> rep.root").select("node", F.col("rep.node").alias("other"))
         else:
-            left = materialise(at.join(split.filter(F.col("n") <= SMALL).select("t", "key"), ["t", "key"]), "similar-left")
-            other = left.select("t", "key", F.col("node").alias("other"), F.col("root").alias("_root"))
-            pairs = left.join(other, ["t", "key"]).filter("root < _root").select("node", "other")
+            left = materialise(at.join(split.select("t", "key", "n"), ["t", "key"]), "similar-left")
+            few = left.filter(F.col("n") <= SMALL)
+            other = few.select("t", "key", F.col("node").alias("other"), F.col("root").alias("_root"))
+            pairs = few.join(other, ["t", "key"]).filter("root < _root").select("node", "other")
+            large = left.filter(F.col("n") > SMALL).drop("n")
+            if large.limit(1).count():
+                edges = edges.unionByName(materialise(_large_edges(large, texts, least, block), "similar-large"))
         pairs = pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
         pairs = materialise(pairs.join(tested, ["u", "v"], "left_anti"), "similar-pairs")
         found = materialise(_confirmed(pairs, texts, least), "similar-found")

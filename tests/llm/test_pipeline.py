@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pairloom.llm.common import materialise, table
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +50,27 @@ def test_near_dedup_equals_brute_force(spark):
             root[a] = root[b] = min(root[a], root[b])
     assert {x.doc_id for x in p.near_dedup(spark, both, SF).collect()} == {i for i in sets if root[i] == i}
     assert any(a >= 10**6 and root[a] == root[b] for a, b in alike)
+
+
+def test_large_buckets_lose_no_link(spark):
+    from pairloom.llm.components import connected_components
+    from pairloom.llm.similar import jaccard, links, shingle_set, similar_edges
+
+    r = random.Random(8)
+    texts = []
+    for _ in range(60):  # sixty texts and an edited copy of each, all in one bucket: a representative meets one of them
+        words = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join(words[:58] + ["x", "y"])]
+    hub = [f"v{r.randrange(10**6)}" for _ in range(60)]
+    texts += [" ".join(hub[:k] + [f"x{r.randrange(10**6)}"] + hub[k + 1 :]) for k in range(5, 45)]
+    sets = [shingle_set(t) for t in texts]
+    alike = [(a, b) for a in range(len(sets)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
+    root = list(range(len(sets)))
+    for _ in root:
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    distinct = spark.createDataFrame([(i, [7, i], t) for i, t in enumerate(texts)], "node long, bands array<long>, text string")
+    for block in (1 << 19, 4000):  # one block, three
+        got = {x.node: x.root for x in connected_components(similar_edges(distinct, block=block)).collect()}
+        assert [got.get(i, i) for i in range(len(root))] == root
+    assert len(set(root)) <= 100 and links(np.arange(3), [sets[0], sets[2], sets[1]], 0.8) == [(2, 0)]
