@@ -1,13 +1,15 @@
 """License scans by conditional compression.
 
-Around words that licences use, blocks of a text are candidates. Every template whose words are
-there is held against the block by its exact differences in wording. Of equally good ones that wins
-which, as a zstandard raw dictionary, saves most on the wording found, against what it saves on itself.
+Around words that licences use, blocks of a text are candidates. Beside each such word every template
+that has it is laid over the block, and zstandard compresses what lies under it with the template as
+raw dictionary: what that saves, against what the template saves on itself, ranks the templates. In
+that order they are held against the wording, whose exact differences confirm or refuse them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -56,6 +58,10 @@ def _words(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in _WORDS.finditer(text)]
 
 
+def _cue(m: re.Match) -> str:
+    return m[0].lower().replace("licence", "licens")
+
+
 @lru_cache(maxsize=1)
 def _compressors():
     def of(content: bytes | None):
@@ -69,7 +75,12 @@ def _compressors():
     for name, template in TEMPLATES:
         data = template.lower().encode()
         with_it = of(data)
-        out.append((name, [w for w, _, _ in _words(template)], with_it, len(plain(data)) - len(with_it(data))))
+        words = _words(template)
+        ends = [e for _, _, e in words]
+        cues: dict[str, list[int]] = {}
+        for m in _CUE.finditer(template):
+            cues.setdefault(_cue(m), []).append(bisect_right(ends, m.start()))
+        out.append((name, [w for w, _, _ in words], cues, with_it, len(plain(data)) - len(with_it(data))))
     return plain, out
 
 
@@ -104,38 +115,67 @@ def _wording(words: list[str], template: list[str]) -> tuple[int, int, list[str]
     return first, last, [w for i, w in enumerate(template) if i not in there], [words[i] for i in range(first, last) if i not in here]
 
 
+def _confirmed(words: list[str], template: list[str], low: int, high: int, free: int) -> tuple[int, int, list[str], list[str]] | None:
+    """_wording() between low and high, or nearer to what was found there; None if it differs too much."""
+    some = set(words[low:high])
+    if sum(w not in some for w in template) > (1 - MIN_WORDS) * len(template):
+        return None
+    hit = None
+    for _ in range(2):
+        got = _wording(words[low:high], template)
+        if got and (hit is None or len(got[2]) + len(got[3]) < len(hit[2]) + len(hit[3])):
+            hit = low + got[0], low + got[1], got[2], got[3]
+        if hit is None or not hit[2]:
+            break
+        low, high = max(free, hit[0] - _slack(template) - len(hit[2])), hit[1] + _slack(template) + len(hit[2])
+    if hit is None or any(w[0].isdigit() for w in hit[2]):
+        return None
+    return hit if len(hit[2]) <= (1 - MIN_WORDS) * len(template) and len(hit[3]) <= (1 - MIN_WORDS) * len(template) + 1 else None
+
+
+def _slack(template: list[str]) -> int:
+    """Words by which words that are missing or extra may shift a template."""
+    return int((1 - MIN_WORDS) * len(template)) + 2
+
+
 def find_licenses(text: str | None) -> list[tuple[int, int, str, float, str, str]]:
     """(start, end, license, saving, missing, extra) in code points, in order; spans do not overlap."""
     out = []
     plain, templates = _compressors()
     for a, z in blocks_of(text or ""):
         block = text[a:z]
-        todo = [_words(block)]
-        while todo:
-            words = todo.pop()
-            if not words:
+        places = _words(block)
+        words, ends = [w for w, _, _ in places], [e for _, _, e in places]
+        free = 0  # words before it are in notices
+
+        def saved(first: int, last: int, with_it, own: int) -> float:
+            # Templates end in a full stop; the compressor looks for no match at the first byte.
+            data = ("\n" + block[places[first][1] : places[last - 1][2]].lower() + ".").encode("utf-8", "surrogatepass")  # noqa: B023
+            return (len(plain(data)) - len(with_it(data))) / own
+
+        for m in _CUE.finditer(block):
+            at = bisect_right(ends, m.start())
+            if at < free or at == len(words):
                 continue
-            there = {w for w, _, _ in words}
+            ranked = []
+            for n, (_, template, cues, with_it, own) in enumerate(templates):
+                for j in cues.get(_cue(m), ()):
+                    first, last = max(free, at - j), min(len(words), at - j + len(template))
+                    ranked.append((-saved(first, last, with_it, own), n, at - j))
             tried = []
-            for name, template, with_it, own in templates:
-                # What the wording check would turn down in any case.
-                if sum(w not in there for w in template) > (1 - MIN_WORDS) * len(template):
-                    continue
-                hit = _wording([w for w, _, _ in words], template)
-                if hit is None:
-                    continue
-                first, last, missing, extra = hit
-                clash = any(w[0].isdigit() for w in missing)
-                if not clash and len(missing) <= (1 - MIN_WORDS) * len(template) and len(extra) <= (1 - MIN_WORDS) * len(template) + 1:
-                    # Templates end in a full stop; the compressor looks for no match at the first byte.
-                    data = ("\n" + block[words[first][1] : words[last - 1][2]].lower() + ".").encode("utf-8", "surrogatepass")
-                    saving = (len(plain(data)) - len(with_it(data))) / own
-                    tried.append((len(missing) + len(extra), -len(template), -saving, first, last, name, missing, extra))
+            for _, n, begin in sorted(ranked):
+                name, template, _, with_it, own = templates[n]
+                hit = _confirmed(words, template, max(free, begin - _slack(template)), begin + len(template) + _slack(template), free)
+                if hit:
+                    first, last, missing, extra = hit
+                    tried.append((-saved(first, last, with_it, own), len(missing) + len(extra), -len(template), first, last, name, missing, extra))
+                    if not missing and not extra:
+                        break
             if tried:
-                _, _, saving, first, last, name, missing, extra = min(tried)
-                out.append((a + words[first][1], a + words[last - 1][2], name, -saving, " ".join(missing), " ".join(extra)))
-                todo += [words[last:], words[:first]]
-    return sorted(out)
+                saving, _, _, first, last, name, missing, extra = min(tried)
+                out.append((a + places[first][1], a + places[last - 1][2], name, -saving, " ".join(missing), " ".join(extra)))
+                free = last
+    return out
 
 
 _SCHEMA = pa.schema(

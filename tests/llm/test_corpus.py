@@ -555,6 +555,14 @@ def test_license_differences():
     assert [x[2] for x in licenses.find_licenses("All Rights Reserved. x " * 3)] == ["proprietary"] * 3
 
 
+def test_licenses_are_chosen_by_compression():
+    # By fewest differences alone this was LGPL-3.0 without "lesser".
+    got = licenses.find_licenses("A text. This work zzz licensed under the GNU General Public License, version 3. More of it.")
+    assert [(x[2], x[4], x[5]) for x in got] == [("GPL-3.0", "is", "zzz")] and 0.9 < got[0][3] < 1
+    got = licenses.find_licenses("license of Released under the MIT License. Licensed under CC BY-SA 4.0. " * 50)
+    assert [x[2] for x in got] == ["MIT", "CC-BY-SA-4.0"] * 50 and {x[4:] for x in got} == {("", "")}
+
+
 @pytest.mark.parametrize("n", range(len(licenses.TEMPLATES)))
 def test_licenses_survive_any_surroundings(docs, n):
     name, notice = licenses.TEMPLATES[n]
