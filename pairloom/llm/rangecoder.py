@@ -1,7 +1,7 @@
 """Adaptive context-mixing range coder for token ids below 65536, in array operations.
 
 A block of ids is dealt to lanes, each a stretch of it with a range coder of its own; all lanes of
-all blocks of one shape advance together. Every id is predicted by three orders: the id that last
+all blocks of one shape, which is that many lanes and steps, advance together. Every id is predicted by three orders: the id that last
 followed the two ids before it, with how often in a row it was right; the counts of all ids that
 followed the id before it; and the counts of all ids so far. Which order codes an id is a symbol of
 its own, whose shares are learnt by how sure order 2 is and how often and how variedly order 1 has
@@ -37,7 +37,8 @@ _TOP, _DIGIT = float(1 << 48), float(1 << 24)
 _HEAD = struct.Struct("<IIII")
 #: Steps whose models are looked up in one go, and blocks that are coded in one go.
 _AT_ONCE, _BLOCKS_AT_ONCE = 32, 64
-#: Steps after which counts are learnt.
+#: Steps after which order 2 and the shares are learnt, and those after which counts are.
+_LEARN_EVERY = 64
 _COUNT_AT = (4, 16, 64, 192, 512)
 #: Rows of shares: how sure order 2 is (8), how often (8) and how variedly (4) order 1 has seen the context.
 _SURE, _OFTEN, _VARIED = 8, 8, 4
@@ -58,6 +59,11 @@ def lanes_of(ids: int) -> int:
     return max(1, round(math.sqrt(ids) / 2))
 
 
+def _shape(ids: int, lanes: int) -> tuple[int, int]:
+    """(lanes, steps)"""
+    return lanes, -(-ids // lanes)
+
+
 class _Models:
     """Order 2, the shares and order 0 of several blocks of one shape; lane l belongs to block l // lanes."""
 
@@ -80,29 +86,29 @@ class _Models:
 
     def _id_tables(self) -> None:
         """Entry of an id: itself, above 17 bits where it starts among the block's ids, above 20 more its count."""
-        # An escape weighs as much as the ids that came once.
-        self.count[:, _IDS] = np.maximum(1, (self.count[:, :_IDS] == 1).sum(axis=1))
-        flat = self.count.ravel()
-        at = flat.nonzero()[0]
-        self.seen, block = flat[at], at // (_IDS + 1)
-        self.total = self.count.sum(axis=1)
+        self.count[:, _IDS] = 1
+        at = self.count.ravel().nonzero()[0]
+        self.seen, block = self.count.ravel()[at], at // (_IDS + 1)
+        # An escape weighs as much as the ids that came once; itself it is the last of its block.
+        escape = np.searchsorted(block, np.arange(self.blocks), "right") - 1
+        self.seen[escape] = np.maximum(1, np.bincount(block[self.seen == 1], minlength=self.blocks) - 1)
+        self.total = np.add.reduceat(self.seen, np.concatenate([[0], escape[:-1] + 1]))
         begin = np.cumsum(self.total) - self.total
         start = np.cumsum(self.seen) - self.seen - begin[block]
         self.by_id[at] = self.entry = (at - block * (_IDS + 1)) | start << 17 | self.seen << 37
 
     def context(self, one: np.ndarray, two: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
         """(slot of order 2, what it holds, row of shares) of ids before, by lane, and the kinds of their rows of order 1."""
-        slot = self.slots + ((two * 40503 + one * 25173) & (_SLOTS - 1))
+        slot = self.slots + ((two * 40503 + one * 25173) & (_SLOTS - 1))  # whose low bits need no more than 32
         held = self.last.take(slot)
         return slot, held, self.shares + (held >> 16) * (_OFTEN * _VARIED) + kind
 
-    def learn(self, ids: np.ndarray, slot: np.ndarray, share: np.ndarray, part: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, slot: np.ndarray, held: np.ndarray, share: np.ndarray, part: np.ndarray) -> None:
         """Order 2 and the shares, from arrays of steps x lanes."""
-        ids, slot, share, part = (v.ravel() for v in (ids, slot, share, part))
+        ids, slot, held, share, part = (v.ravel() for v in (ids, slot, held, share, part))
         self.share += np.bincount(share * 3 + part, minlength=self.share.size).reshape(self.share.shape)
-        sure = self.last.take(slot) >> 16
         # Of several in one slot, the one written last holds.
-        self.last[slot] = (np.where(part == 0, np.minimum(sure + 1, _SURE - 1), 1) << 16) + ids
+        self.last[slot] = (np.where(part == 0, np.minimum((held >> 16) + 1, _SURE - 1), 1) << 16) + ids
         self._share_tables()
 
     def learn_ids(self, ids: np.ndarray) -> None:
@@ -126,13 +132,12 @@ class _Followers:
     """Order 1 for a decoder: the ids that followed each id, in rows beside those of order 0."""
 
     def __init__(self, model: _Models):
-        self.model, none = model, model.blocks * (_IDS + 1)
+        self.model = model
         # Block, id before and id of all that was learnt, sorted.
         self.pairs = np.zeros(0, np.int64)
-        # Rows of entries: an id's followers, then a block's ids, then one that costs nothing.
-        self.zero, self.none = model.blocks * _IDS + model.block, none
-        self.low, self.size = np.zeros((2, none + 1), np.int32)
-        self.kind = np.zeros(model.blocks * _IDS, np.int32)
+        # Rows of entries: an id's followers, then a block's ids, then one that costs nothing. Of each its kind,
+        # above 5 bits its size and above 19 more where it begins.
+        self.rows = np.zeros(model.blocks * _IDS, np.int64)
         self._tables()
 
     def _tables(self) -> None:
@@ -143,12 +148,11 @@ class _Followers:
         head = _starts(keys >> 16)
         rows, low = keys[head] >> 16, run[head]
         size, kinds = np.diff(low, append=len(k)), np.diff(head, append=len(run))
-        self.low[rows], self.size[rows], self.kind[rows] = low, size, _kinds(size, kinds)
+        self.rows[rows] = _kinds(size, kinds) | size << 5 | low << 24
         entry = (keys & (_IDS - 1)) | (run - np.repeat(low, kinds)) << 17 | times << 37
-        own = slice(model.blocks * _IDS, -1)
-        self.low[own], self.size[own] = len(k) + np.cumsum(model.total) - model.total, model.total
+        self.zero = (model.total << 5 | (len(k) + np.cumsum(model.total) - model.total) << 24)[model.block]
         self.entries = np.concatenate([np.repeat(entry, times), np.repeat(model.entry, model.seen), [1 << 37]])
-        self.low[-1], self.size[-1] = len(self.entries) - 1, 1
+        self.none = 1 << 5 | (len(self.entries) - 1) << 24
 
     def learn(self, ids: np.ndarray, one: np.ndarray) -> None:
         self.pairs = np.concatenate([self.pairs, np.sort((((self.model.rows + one) << 16) + ids).ravel())])
@@ -156,44 +160,55 @@ class _Followers:
         self._tables()
 
 
-def _followers(model: _Models, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(entry, 32 times the size of the row plus its kind) that _Followers will have of each id but the first two rows; entry 0: none.
+def _followers(model: _Models, ids: np.ndarray) -> np.ndarray:
+    """What _Followers will have of each id but the first two rows: its row's kind, above 5 bits the row's size, above 19 more where it
+    starts in the row and above 18 more its count, 0 if it is not there."""
+    lanes = ids.shape[1] // model.blocks
+    out = np.empty((len(ids) - 2, ids.shape[1]), np.int64)
+    for a in range(0, ids.shape[1], lanes):  # stays within the cache
+        out[:, a : a + lanes] = _followers_of_block(ids[:, a : a + lanes])
+    return out
+
+
+def _followers_of_block(ids: np.ndarray) -> np.ndarray:
+    """_followers() of one block.
 
     All ids are sorted once. From the last stretch to the first, what its model knows is counted along that order.
     """
     steps, lanes = len(ids) - 2, ids.shape[1]
     bits = (steps * lanes).bit_length()
-    asked = model.rows + ids[1:-1]
+    asked = ids[1:-1].astype(np.int64)
     asked <<= 16
     asked += ids[2:]
     asked <<= bits
     asked = asked.ravel()
     asked |= np.arange(steps * lanes)
     asked.sort()
-    entry, size = np.zeros(steps * lanes, np.int64), np.zeros(steps * lanes, np.int32)
+    out = np.zeros(steps * lanes, np.int64)
+    place, key = (asked & ((1 << bits) - 1)).astype(np.int32), asked >> bits
     for first in reversed([c for c in _COUNT_AT if c < steps]):
-        place, key = asked & ((1 << bits) - 1), asked >> bits
         known = place < first * lanes
-        group = _starts(key)
-        keys = key[group]
-        head = _starts(keys >> 16)
-        upto = np.zeros(len(asked) + 1, np.int32)
+        new = np.ones(len(key), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        group = new.nonzero()[0]
+        head = _starts(key[group] >> 16)
+        upto = np.zeros(len(key) + 1, np.int32)
         np.cumsum(known, out=upto[1:])
         low = upto[group].astype(np.int64)
-        times, row_low = np.diff(low, append=upto[-1]), low[head]
-        row_size, groups = np.diff(row_low, append=upto[-1]), np.diff(head, append=len(group))
-        row = (row_size << 5 | _kinds(row_size, np.add.reduceat(times > 0, head, dtype=np.int64))).astype(np.int32)
-        of_group = np.where(times > 0, (keys & (_IDS - 1)) | (low - np.repeat(row_low, groups)) << 17 | times << 37, 0)
-        asking = ~known
-        mine, there = np.repeat(np.arange(len(group), dtype=np.int32), np.diff(group, append=len(asked)))[asking], place[asking]
-        entry[there], size[there] = of_group[mine], np.repeat(row, groups)[mine]
-        asked = asked[known]
-    return entry.reshape(steps, lanes), size.reshape(steps, lanes)
+        times, row_low = np.diff(low, append=upto[-1:]), low[head]
+        row_size, groups = np.diff(row_low, append=upto[-1:]), np.diff(head, append=len(group))
+        row = (_kinds(row_size, np.add.reduceat(times > 0, head, dtype=np.int64)) | row_size << 5) - (row_low << 24)
+        of_group = np.repeat(row, groups) + (low << 24) + (times << 42)
+        asking = (~known).nonzero()[0]
+        out[place.take(asking)] = of_group.take(np.cumsum(new, dtype=np.int32).take(asking) - 1)
+        known = known.nonzero()[0]
+        place, key = place.take(known), key.take(known)
+    return out.reshape(steps, lanes)
 
 
 def _stretches(steps: int) -> list[tuple[int, int, bool]]:
     """(first, end, whether counts are learnt at the end) of the steps between which nothing is learnt."""
-    cuts = sorted({s for s in (*_COUNT_AT, *range(64, steps, 64)) if s < steps} | {steps})
+    cuts = sorted({s for s in (*_COUNT_AT, *range(_LEARN_EVERY, steps, _LEARN_EVERY)) if s < steps} | {steps})
     return [(a, b, b in _COUNT_AT) for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
@@ -242,22 +257,21 @@ class _Encoder:
         return [digits[a:z] for a, z in zip(begin.tolist(), np.maximum(used, begin).tolist(), strict=True)]
 
 
-def _encode_steps(model: _Models, coder: _Encoder, ids: np.ndarray, entry: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+def _encode_steps(model: _Models, coder: _Encoder, ids: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, ...]:
     """Codes all rows of ids but the first two, which are the ids before; returns what the model learns from."""
     steps, lanes = len(ids) - 2, ids.shape[1]
-    slot, held, share = model.context(ids[1:-1], ids[:-2], size & 31)
-    x = ids[2:]
-    part = np.where(entry > 0, np.int8(1), np.int8(2))
+    slot, held, share = model.context(ids[1:-1], ids[:-2], follower & 31)
+    x, count = ids[2:], follower >> 42
+    part = np.where(count > 0, np.int8(1), np.int8(2))
     part[(held & 0xFFFF) == x] = 0
-    entry, total = np.where(part == 1, entry, 1 << 37).ravel(), np.where(part == 1, (size >> 5).astype(float), 1.0)
+    first = part == 1
+    start, count, total = (np.where(first, v, other).astype(float) for v, other in ((follower >> 24 & 0x3FFFF, 0), (count, 1), (follower >> 5 & 0x7FFFF, 1)))
     zeroth = (part == 2).ravel().nonzero()[0]
     lane = zeroth % lanes
     by_id = model.by_id[model.ids[lane] + x.ravel()[zeroth]]
     new = by_id == 0
     by_id[new] = model.by_id[model.ids[lane[new]] + _IDS]
-    entry[zeroth], total.reshape(-1)[zeroth] = by_id, model.total[model.block[lane]]
-    entry = entry.reshape(steps, lanes)
-    start, count = ((entry >> 17) & 0xFFFFF).astype(float), (entry >> 37).astype(float)
+    start.reshape(-1)[zeroth], count.reshape(-1)[zeroth], total.reshape(-1)[zeroth] = (by_id >> 17) & 0xFFFFF, by_id >> 37, model.total[model.block[lane]]
     which = share * 3 + part
     upto, width = model.upto.take(which), model.width.take(which)
     new = zeroth[new]
@@ -268,27 +282,28 @@ def _encode_steps(model: _Models, coder: _Encoder, ids: np.ndarray, entry: np.nd
         if len(new[k]):
             which = new[k] - k * lanes
             coder.put_id(which, x[k, which])
-    return slot, share, part
+    return slot, held, share, part
 
 
 def _encode_shape(blocks: list[np.ndarray]) -> list[bytes]:
-    """Blocks of as many ids each."""
-    n, lanes = len(blocks), lanes_of(len(blocks[0]))
-    steps = -(-len(blocks[0]) // lanes)
+    """Blocks of one shape."""
+    n, (lanes, steps) = len(blocks), _shape(len(blocks[0]), lanes_of(len(blocks[0])))
     # Two rows of zeros come first, so that the ids before are there too. Lanes are filled up with
     # id 0; the count in the head cuts that off.
-    ids = np.zeros((steps + 2, n * lanes), np.int64)
+    ids = np.zeros((steps + 2, n * lanes), np.int32)
     for k, b in enumerate(blocks):
         ids[2:, k * lanes : (k + 1) * lanes] = np.concatenate([b, np.zeros(steps * lanes - len(b), b.dtype)]).reshape(lanes, steps).T
-    slots, shares, parts = np.zeros(ids.shape, np.int32), np.zeros(ids.shape, np.int32), np.zeros(ids.shape, np.int8)
+    slots, helds, shares = np.zeros((3, _LEARN_EVERY, n * lanes), np.int32)
+    parts = np.zeros((_LEARN_EVERY, n * lanes), np.int8)
     model, coder, counted = _Models(n, lanes), _Encoder(n * lanes), 0
-    entry, size = _followers(model, ids)
+    followers = _followers(model, ids)
     for a, z, learn in _stretches(steps):
         for at in range(a, z, _AT_ONCE):  # stays within the cache
-            to = slice(at, min(z, at + _AT_ONCE))
-            slots[to], shares[to], parts[to] = _encode_steps(model, coder, ids[to.start : to.stop + 2], entry[to], size[to])
+            end = min(z, at + _AT_ONCE)
+            to = slice(at - a, end - a)
+            slots[to], helds[to], shares[to], parts[to] = _encode_steps(model, coder, ids[at : end + 2], followers[at:end])
         if z < steps:
-            model.learn(ids[a + 2 : z + 2], slots[a:z], shares[a:z], parts[a:z])
+            model.learn(ids[a + 2 : z + 2], *(v[: z - a] for v in (slots, helds, shares, parts)))
             if learn:
                 model.learn_ids(ids[counted + 2 : z + 2])
                 counted = z
@@ -303,69 +318,68 @@ def _encode_shape(blocks: list[np.ndarray]) -> list[bytes]:
     return out
 
 
-def _of_one_size(sizes: list[int]) -> list[list[int]]:
-    """The numbers of blocks of one size, _BLOCKS_AT_ONCE at most together."""
-    by_size: dict[int, list[int]] = {}
-    for k, size in enumerate(sizes):
-        by_size.setdefault(size, []).append(k)
-    return [w[a : a + _BLOCKS_AT_ONCE] for w in by_size.values() for a in range(0, len(w), _BLOCKS_AT_ONCE)]
+def _together(shapes: list[tuple[int, int]]) -> list[list[int]]:
+    """The numbers of blocks of one shape, _BLOCKS_AT_ONCE at most together."""
+    by_shape: dict[tuple[int, int], list[int]] = {}
+    for k, shape in enumerate(shapes):
+        by_shape.setdefault(shape, []).append(k)
+    return [w[a : a + _BLOCKS_AT_ONCE] for w in by_shape.values() for a in range(0, len(w), _BLOCKS_AT_ONCE)]
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """One record for each array of 1 to BLOCK_IDS ids; those of one length are coded together."""
+    """One record for each array of 1 to BLOCK_IDS ids; those of as many lanes and steps are coded together."""
     out: dict[int, bytes] = {}
-    for which in _of_one_size([len(b) for b in blocks]):
+    for which in _together([_shape(len(b), lanes_of(len(b))) for b in blocks]):
         out.update(zip(which, _encode_shape([blocks[k] for k in which]), strict=True))
     return [out[k] for k in range(len(blocks))]
 
 
 class _Decoder:
     def __init__(self, streams: list[np.ndarray]):
-        # Two zero digits after each lane; the second is read as often as it takes.
-        ends = np.cumsum([len(s) + 2 for s in streams])
-        self.data, self.end = np.zeros(int(ends[-1])), ends - 1
-        self.at = np.concatenate([[0], ends[:-1]])
-        for a, s in zip(self.at.tolist(), streams, strict=True):
-            self.data[a : a + len(s)] = s
-        self.value = self.data[self.at] * _DIGIT + self.data[self.at + 1]
-        self.at, self.range = self.at + 2, np.full(len(streams), _TOP)
+        # A column for each lane; the zero digits after it are read as often as it takes, the last row's ever after.
+        lanes, size = len(streams), np.array([len(x) for x in streams])
+        data = np.zeros((int(size.max()) + 3, lanes))
+        column = np.repeat(np.arange(lanes), size)
+        data[np.arange(len(column)) - np.repeat(np.cumsum(size) - size, size), column] = np.concatenate(streams)
+        self.data, self.lanes, self.at = data.ravel(), lanes, np.arange(lanes)
+        self.value = self.data[self.at] * _DIGIT + self.data[self.at + lanes]
+        self.at, self.range = self.at + 2 * lanes, np.full(lanes, _TOP)
 
     def shift(self) -> None:
         short = (self.range < _DIGIT).nonzero()[0]
         if len(short):
-            at = np.minimum(self.at[short], self.end[short])
-            self.value[short] = self.value[short] * _DIGIT + self.data[at]
+            at = self.at[short]
+            self.value[short] = self.value[short] * _DIGIT + self.data.take(at, mode="clip")
             self.range[short] *= _DIGIT
-            self.at[short] = at + 1
+            self.at[short] = at + self.lanes
 
 
-def _decode_shape(records: list[bytes], size: int) -> list[np.ndarray]:
-    """Blocks of size ids each, none of which is plain."""
-    n, (lanes,) = len(records), struct.unpack_from("<I", records[0], _HEAD.size)
-    steps, streams = -(-size // lanes), []
+def _decode_shape(records: list[bytes], sizes: list[int], lanes: int, steps: int) -> list[np.ndarray]:
+    """Blocks of one shape and so many ids, none of which is plain."""
+    n, streams = len(records), []
     for r in records:
         ends = np.cumsum(np.frombuffer(r, "<u2", lanes, _HEAD.size + 4), dtype=np.int64)
         raw = np.frombuffer(r, np.uint8, 3 * int(ends[-1]), _HEAD.size + 4 + 2 * lanes).reshape(-1, 3)
         streams += np.split(raw @ np.array([1, 1 << 8, 1 << 16]), ends[:-1])
     model, coder, counted = _Models(n, lanes), _Decoder(streams), 0
     rows = _Followers(model)
-    ids = np.zeros((steps + 2, n * lanes), np.int64)  # as in _encode_shape()
-    slots, shares, parts = np.zeros(ids.shape, np.int32), np.zeros(ids.shape, np.int32), np.zeros(ids.shape, np.int8)
+    ids = np.zeros((steps + 2, n * lanes), np.int32)  # as in _encode_shape()
+    slots, helds, shares = np.zeros((3, _LEARN_EVERY, n * lanes), np.int32)
+    parts = np.zeros((_LEARN_EVERY, n * lanes), np.int8)
     for a, z, learn in _stretches(steps):
         for k in range(a, z):
-            row = model.rows + ids[k + 1]
-            slot, held, share = model.context(ids[k + 1], ids[k], rows.kind.take(row))
+            row = rows.rows.take(model.rows + ids[k + 1])
+            slot, held, share = model.context(ids[k + 1], ids[k], row & 31)
             unit = np.floor(coder.range / _SHARES)
-            two, one = unit * model.two.take(share), unit * model.one.take(share)
-            not_two, not_one = coder.value >= two, coder.value >= one
-            start = np.where(not_one, one, np.where(not_two, two, 0.0))
-            coder.range = np.where(not_one, unit * _SHARES, np.where(not_two, one, two)) - start
-            coder.value = coder.value - start
+            not_two, not_one = coder.value >= unit * model.two.take(share), coder.value >= unit * model.one.take(share)
+            which = 3 * share + np.add(not_two, not_one, out=parts[k - a], dtype=np.int8)
+            coder.value -= unit * model.upto.take(which)
+            coder.range = unit * model.width.take(which)
             coder.shift()
             at = np.where(not_one, rows.zero, np.where(not_two, row, rows.none))
-            unit = np.floor(coder.range / rows.size.take(at))
-            entry = rows.entries.take(rows.low.take(at) + (coder.value / unit).astype(np.int64), mode="clip")
-            coder.value = coder.value - unit * ((entry >> 17) & 0xFFFFF)
+            unit = np.floor(coder.range / (at >> 5 & 0x7FFFF))
+            entry = rows.entries.take((at >> 24) + (coder.value / unit).astype(np.int64), mode="clip")
+            coder.value -= unit * ((entry >> 17) & 0xFFFFF)
             coder.range = unit * (entry >> 37)
             coder.shift()
             x = np.where(not_two, entry & 0x1FFFF, held & 0xFFFF)
@@ -376,16 +390,15 @@ def _decode_shape(records: list[bytes], size: int) -> list[np.ndarray]:
                 coder.value[new] -= unit * got
                 coder.range[new] = unit
                 coder.shift()
-            ids[k + 2], slots[k], shares[k] = x, slot, share
-            np.add(not_two, not_one, out=parts[k], dtype=np.int8)
+            ids[k + 2], slots[k - a], helds[k - a], shares[k - a] = x, slot, held, share
         if z < steps:
-            model.learn(ids[a + 2 : z + 2], slots[a:z], shares[a:z], parts[a:z])
+            model.learn(ids[a + 2 : z + 2], *(v[: z - a] for v in (slots, helds, shares, parts)))
             if learn:
                 model.learn_ids(ids[counted + 2 : z + 2])
                 rows.learn(ids[counted + 2 : z + 2], ids[counted + 1 : z + 1])
                 counted = z
-    ids = ids[2:]
-    return list(ids.T.reshape(n, lanes * steps)[:, :size].astype(np.uint32))
+    ids = ids[2:].T.reshape(n, lanes * steps).view(np.uint32)
+    return [b[:size] for b, size in zip(ids, sizes, strict=True)]
 
 
 def decode_blocks(records: list[bytes]) -> list[np.ndarray]:
@@ -398,10 +411,11 @@ def decode_blocks(records: list[bytes]) -> list[np.ndarray]:
         sizes.append(size)
     coded = [k for k, r in enumerate(records) if struct.unpack_from("<I", r, _HEAD.size)[0]]
     done = {k: np.frombuffer(r, "<u2", sizes[k], _HEAD.size + 4).astype(np.uint32) for k, r in enumerate(records) if k not in coded}
-    for which in _of_one_size([sizes[k] for k in coded]):
-        which = [coded[k] for k in which]
-        done.update(zip(which, _decode_shape([records[k] for k in which], sizes[which[0]]), strict=True))
+    shapes = [_shape(sizes[k], *struct.unpack_from("<I", records[k], _HEAD.size)) for k in coded]
+    for which in _together(shapes):
+        shape, which = shapes[which[0]], [coded[k] for k in which]
+        done.update(zip(which, _decode_shape([records[k] for k in which], [sizes[k] for k in which], *shape), strict=True))
     for k, ids in done.items():
-        if zlib.crc32(ids.astype("<u4").tobytes()) != _HEAD.unpack_from(records[k])[2]:
+        if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != _HEAD.unpack_from(records[k])[2]:
             raise ValueError(f"block {k}: ids do not match their checksum")
     return [done[k] for k in range(len(records))]

@@ -20,6 +20,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import compress, repeat
 
 import numpy as np
 import public_tokenizers
@@ -34,16 +36,21 @@ from pairloom.llm.rangecoder import BLOCK_IDS, decode_blocks, encode_blocks
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Blocks that are coded together, and after which a file ends with the document at hand.
-FILE_BLOCKS = 8
+#: Blocks of a file but a task's last one, which holds half as many to one and a half times as many, where they are full.
+#: About so many are coded together.
+FILE_BLOCKS = 10
 #: Characters of texts that are tokenized at once.
 _CHUNK_CHARS = 4_000_000
 _MAGIC, _VERSION = 0x4B544C50, 2
 _HEAD = struct.Struct("<IIQII")
 #: A word of Latin letters, with a space before it or not, which the pre-tokenizer takes as one part.
 _PLAIN = "^ ?[A-Za-zÀ-ÖØ-öø-ɏ]+$"
-#: Pieces that a worker remembers; then it forgets all and starts anew.
-_REMEMBERED = 700_000
+#: The bytes of such words.
+_PLAIN_BYTES = b"".join(bytes(range(a, z + 1)) for a, z in ((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xBF), (0xC3, 0xC9)))
+#: Such words that the model takes at once.
+_WORDS_AT_ONCE = 64
+#: Pieces that a worker remembers, and ids of pieces; then it forgets those that were rare.
+_REMEMBERED, _REMEMBERED_IDS = 700_000, 1 << 26
 #: By path, so that a worker's tasks share what it remembers.
 _TOKENIZERS: dict[str, PieceTokenizer] = {}
 
@@ -116,61 +123,84 @@ class PieceTokenizer:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or []]
         characters = _byte_characters()
         self.written = np.array([ord(characters[b]) for b in range(256)], "<u4")
-        # The same model on words that are written in the vocabulary's characters already, after spaces or between line ends.
+        # The same model on words that are written in the vocabulary's characters already, after spaces or before line ends.
+        # Where no token reaches from one such word into the next, it takes many words as one part.
+        inner = {characters[b] for b in _PLAIN_BYTES}
         self.words, self.marked = {}, {}
         for mark, how in ((" ", "merged_with_next"), ("\n", "isolated")):
             character = characters[ord(mark)]
+            joint = [t for t in self.library.get_vocab() if character in t[mark == " " :] and t.strip(character) and {*t} - {character} <= inner]
             self.words[mark] = Tokenizer.from_file(path)
-            self.words[mark].pre_tokenizer = Split(character, how)
+            self.words[mark].pre_tokenizer = Split(character, how) if joint else Split("\n", "isolated")  # which is no character of the vocabulary's
             self.marked[mark] = np.zeros(65536, bool)
             self.marked[mark][[i for t, i in self.library.get_vocab().items() if t.startswith(character)]] = True
-        self._forget()
+        self._remember([], np.zeros(0, np.uint16), np.zeros(1, np.int32), np.zeros(0, np.int32))
+
+    def _remember(self, pieces: list[str], ids: np.ndarray, at: np.ndarray, uses: np.ndarray) -> None:
+        """Knows these pieces only, whose ids follow one another from at on."""
+        # The number of a piece; by number, where its ids begin in pool and how often it was looked up. The last one ends the pool.
+        self.known: dict[str, int] = dict(zip(pieces, range(len(pieces)), strict=True))
+        self.pool, self.at, self.uses = ids, at, uses
 
     def _forget(self) -> None:
-        # The number of a piece; by number, where its ids begin in pool. The last one ends the pool.
-        self.known: dict[str, int] = {}
-        self.pool, self.at = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.int64)
+        """Keeps pieces that were looked up for several chunks, half of all at most."""
+        n = len(self.known)
+        uses, all_of = self.uses[:n], np.diff(self.at[: n + 1])
+        keep, least = uses > 1, 2
+        while keep.sum() > _REMEMBERED // 2 or all_of[keep].sum() > _REMEMBERED_IDS // 2:
+            least *= 2
+            keep = uses >= least
+        ids = self.pool[: self.at[n]][np.repeat(keep, all_of)]
+        at = np.concatenate([[0], np.cumsum(all_of[keep])]).astype(np.int32)
+        self._remember(list(compress(self.known, keep.tolist())), ids, at, uses[keep] // 2)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, words: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, where each word's begin) of words of _PLAIN, in one call; all begin with a space, or none, as mark says."""
-        if not words:
+    def _plain(self, words: pa.Array, mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each word has) of words of _PLAIN, in one call; all begin with a space, or none, as mark says."""
+        if not len(words):
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        joined = "".join(words) if mark == " " else "\n".join(words)
-        written = self.written[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-32-le")
-        ids = np.array(self.words[mark].encode_batch_fast([written], add_special_tokens=False)[0].ids, np.uint16)
+        if mark == "\n":
+            words = pc.binary_join_element_wise(words, "", mark)
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        written = self.written[np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]].tobytes().decode("utf-32-le")
+        edges = [*(offsets[:-1:_WORDS_AT_ONCE] - offsets[0]).tolist(), len(written)]
+        parts = self.words[mark].encode_batch_fast([written[a:z] for a, z in zip(edges, edges[1:], strict=False)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint16) for e in parts])
         # A token has the mark in no other place than at its beginning.
         at = self.marked[mark][ids].nonzero()[0]
         if mark == " ":
-            return ids, at
-        return np.delete(ids, at), np.concatenate([[0], at - np.arange(len(at))])
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of new pieces."""
-        is_plain = pc.match_substring_regex(pa.array(pieces, pa.string()), _PLAIN).to_pylist()
-        plain, rest = [p for p, y in zip(pieces, is_plain, strict=True) if y], [p for p, y in zip(pieces, is_plain, strict=True) if not y]
-        spaced, bare = [p for p in plain if p[0] == " "], [p for p in plain if p[0] != " "]
-        (ids, begins), (more, there) = self._plain(spaced, " "), self._plain(bare, "\n")
-        ids, begins, plain = np.concatenate([ids, more]), np.concatenate([begins, len(ids) + there]), spaced + bare
-        others = self._library(rest)
-        sizes = np.array([len(o) // 2 for o in others], np.int64)
-        begins = np.concatenate([begins, len(ids) + np.cumsum(sizes) - sizes])
-        ids = np.concatenate([ids, np.frombuffer(b"".join(others), "<u2")])
-        begins = np.append(begins, len(ids))
-        n = len(self.known)
-        base = self.at[n]
-        while len(self.at) < n + len(begins):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        while len(self.pool) < base + len(ids):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            return ids, np.diff(at, append=len(ids))
+        return np.delete(ids, at), np.diff(at, prepend=-1) - 1
+
+    def _learn(self, pieces: pa.Array, words: list[str]) -> np.ndarray:
+        """Remembers the ids of new pieces, the same in both; returns their numbers."""
+        is_plain = pc.match_substring_regex(pieces, _PLAIN).to_numpy(zero_copy_only=False)
+        spaced = pc.starts_with(pieces, " ").to_numpy(zero_copy_only=False)
+        kinds = [(is_plain & spaced).nonzero()[0], (is_plain & ~spaced).nonzero()[0], (~is_plain).nonzero()[0]]
+        order, n = np.concatenate(kinds), len(self.known)
+        others = self._library([words[k] for k in kinds[2].tolist()])
+        (ids, size), (more, sizes) = (self._plain(pieces.take(pa.array(k)), mark) for k, mark in zip(kinds, " \n", strict=False))
+        ids = np.concatenate([ids, more, np.frombuffer(b"".join(others), "<u2")])
+        size = np.concatenate([size, sizes, np.array([len(o) // 2 for o in others], np.int64)])
+        if len(size) != len(order):
+            raise ValueError("the tokenizer joins words")
+        base, upto = int(self.at[n]), n + len(order)
+        if upto >= len(self.at):
+            self.at, self.uses = (np.concatenate([v[: n + 1], np.zeros(upto, np.int32)]) for v in (self.at, self.uses))
+        if base + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:base], np.zeros(base + 2 * len(ids), np.uint16)])
         self.pool[base : base + len(ids)] = ids
-        self.at[n : n + len(begins)] = base + begins
-        self.known.update(zip([*plain, *rest], range(n, n + len(begins) - 1), strict=True))
+        self.at[n + 1 : upto + 1] = base + np.cumsum(size)
+        self.uses[n:upto] = 0
+        self.known.update(zip(map(words.__getitem__, order.tolist()), range(n, upto), strict=True))
+        numbers = np.empty(len(order), np.int32)
+        numbers[order] = np.arange(n, upto)
+        return numbers
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, u16 little-endian."""
@@ -179,32 +209,45 @@ class PieceTokenizer:
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, how many each has) of an array of strings without nulls."""
-        if not self.by_piece or any(pc.any(pc.match_substring(texts, a)).as_py() for a in self.added):
-            parts = self._library(texts.to_pylist())
-            return np.frombuffer(b"".join(parts), "<u2"), np.array([len(p) // 2 for p in parts], np.int64)
         texts = texts.cast(pa.large_string())
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        if not len(texts) or offsets[-1] == offsets[0]:
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        if offsets[-1] == offsets[0]:
             return np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        if not self.by_piece or any(a in raw for raw in [data.tobytes()] for a in self.added):
+            parts = self._library(texts.to_pylist())
+            return np.frombuffer(b"".join(parts), "<u2"), np.array([len(p) // 2 for p in parts], np.int64)
         offsets = offsets - offsets[0]
         starts = _piece_starts(data, offsets[:-1][offsets[1:] > offsets[:-1]])
         cuts = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
         pieces = pa.Array.from_buffers(pa.string(), len(starts), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
-        if len(self.known) > _REMEMBERED:
+        if len(self.known) > _REMEMBERED or self.at[len(self.known)] > _REMEMBERED_IDS:
             self._forget()
         distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-        number = list(map(self.known.get, distinct))
-        if None in number:
-            self._learn([p for p, k in zip(distinct, number, strict=True) if k is None])
-            number = list(map(self.known.__getitem__, distinct))
-        number = np.array(number, np.int64)[pieces.indices.to_numpy()]
-        begin = self.at[number]
-        size = self.at[number + 1] - begin
-        upto = np.cumsum(size)
-        ids = self.pool[np.repeat(begin - upto + size, size) + np.arange(upto[-1])]
-        upto = np.concatenate([[0], upto])
-        return ids, np.diff(upto[np.searchsorted(starts, offsets)])
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int32, len(distinct))
+        new = (number < 0).nonzero()[0]
+        if len(new):
+            number[new] = self._learn(pieces.dictionary.take(pa.array(new)), [distinct[k] for k in new.tolist()])
+        self.uses[number] += 1
+        n = len(self.known)
+        known = pa.ListArray.from_arrays(pa.array(self.at[: n + 1]), pa.array(self.pool[: self.at[n]]))
+        ids = known.take(pa.array(number)).take(pieces.indices)
+        upto = ids.offsets.to_numpy()
+        return ids.flatten().to_numpy(), np.diff(upto[np.searchsorted(starts, offsets)]).astype(np.int64)
+
+
+@cache
+def keep_freed_memory() -> None:
+    """Lets this worker use its memory again instead of giving it back after each array and having pages cleared anew; glibc only."""
+    import ctypes
+
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError, TypeError):
+        return
+    trim_threshold, mmap_threshold = -1, -3
+    mallopt(trim_threshold, 1 << 27)
+    mallopt(mmap_threshold, 1 << 25)
 
 
 def tokenizer_at(path: str) -> PieceTokenizer:
@@ -213,10 +256,18 @@ def tokenizer_at(path: str) -> PieceTokenizer:
     return _TOKENIZERS[path]
 
 
+def _together(blocks: list) -> list[list]:
+    """The blocks that are coded together."""
+    groups = max(1, round(len(blocks) / FILE_BLOCKS))
+    edges = [len(blocks) * k // groups for k in range(groups + 1)]
+    return [blocks[a:z] for a, z in zip(edges, edges[1:], strict=False)]
+
+
 def pack_file(names: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """A file of documents: their doc_ids, how many ids each has, all ids one after the other."""
-    blocks = [ids[a : a + BLOCK_IDS] for a in range(0, len(ids), BLOCK_IDS)]
-    records = [r for a in range(0, len(blocks), FILE_BLOCKS) for r in encode_blocks(blocks[a : a + FILE_BLOCKS])]
+    # Blocks of one size to within an id, so that none is coded alone.
+    blocks = np.array_split(ids, -(-len(ids) // BLOCK_IDS))
+    records = [r for some in _together(blocks) for r in encode_blocks(some)]
     index = b"".join(
         (
             np.array([d or 0 for d in names], "<i8").tobytes(),
@@ -238,7 +289,7 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     null, lengths = np.frombuffer(index, np.uint8, n, 16 * n), np.frombuffer(index, "<u4", blocks, 17 * n)
     at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]) + _HEAD.size + len(index)
     records = [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    ids = np.concatenate([x for a in range(0, blocks, FILE_BLOCKS) for x in decode_blocks(records[a : a + FILE_BLOCKS])])
+    ids = np.concatenate([x for some in _together(records) for x in decode_blocks(some)])
     return [None if z else d for d, z in zip(names.tolist(), null.tolist(), strict=True)], sizes.astype(np.int64), ids
 
 
@@ -257,6 +308,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
     rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         tokens = tokenizer_at(path)
         part, made, full = TaskContext.get().partitionId(), 0, FILE_BLOCKS * BLOCK_IDS
         names, sizes, ids = [], np.zeros(0, np.int64), np.zeros(0, np.uint16)
@@ -280,8 +332,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
                 with_ends[mine] = new
                 names += b.column(0).slice(a, z - a).to_pylist()
                 sizes, ids = np.concatenate([sizes, size + 1]), np.concatenate([ids, with_ends])
-                while len(ids) >= full:
-                    yield flush(int(np.searchsorted(np.cumsum(sizes), full)) + 1)
+                while 2 * len(ids) > 3 * full and len(names) > 1:
+                    yield flush(max(1, int(np.searchsorted(np.cumsum(sizes), full, "right"))))
         if names:
             yield flush(len(names))
 
@@ -297,10 +349,11 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) ->
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         for b in batches:
             for path, data in zip(b.column(0), b.column(1), strict=True):
                 documents, sizes, ids = unpack_file(data.as_py())
-                upto, raw = np.concatenate([[0], np.cumsum(sizes)]), memoryview(ids.astype("<u4")).cast("B")
+                upto, raw = np.concatenate([[0], np.cumsum(sizes)]), memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 at = (4 * upto).tolist()
                 cols = [
                     pa.array([path.as_py().rpartition("/")[2]] * len(documents)),

@@ -335,6 +335,40 @@ def test_pieces_equal_the_library():
     assert t.encode(some) == t._library(some)
 
 
+def test_plain_words_equal_the_library():
+    import public_tokenizers
+
+    t = tokenfiles.PieceTokenizer(public_tokenizers.path(tokenfiles.TOKENIZER))
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefgthinorÉéàÂßÿɏ") for _ in range(r.randint(1, 12))) for _ in range(1000)]
+    some = [w for k, w in enumerate(words) if k % 3] + [" ".join(words[a : a + 7]) for a in range(0, 1000, 5)]
+    assert t.encode(some) == t._library(some)
+
+
+def test_frequent_pieces_are_not_forgotten(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokenfiles, "_REMEMBERED", 100)
+    t = tokenfiles.PieceTokenizer(public_tokenizers.path(tokenfiles.TOKENIZER))
+    some = ["much used"] * 3 + [" ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(a, a + 90)) for a in (0, 90, 180)]
+    assert [t.encode([x]) for x in some] == [t._library([x]) for x in some]
+    assert "much" in t.known and " wab" not in t.known and len(t.known) < 200
+
+
+def test_token_file_codes_blocks_together(monkeypatch):
+    together = []
+    for way in ("_encode_shape", "_decode_shape"):
+        code = getattr(rangecoder, way)
+        monkeypatch.setattr(rangecoder, way, lambda blocks, *more, code=code: together.append(len(blocks)) or code(blocks, *more))
+    monkeypatch.setattr(tokenfiles, "BLOCK_IDS", 4096)
+    g = np.random.default_rng(3)
+    sizes = np.array([5000, 1, 9000, 0, 343])
+    ids = (g.geometric(0.01, sizes.sum()) % 50257).astype(np.uint16)
+    names, got, back = tokenfiles.unpack_file(tokenfiles.pack_file([1, 2, 3, None, 4], sizes, ids))
+    assert names == [1, 2, 3, None, 4] and (got == sizes).all() and (back == ids).all()
+    assert together == [4, 4]  # none alone, though they do not fill the last one
+
+
 # --- 6 and 7: classifiers ---------------------------------------------------------------------
 
 
