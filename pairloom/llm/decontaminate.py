@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import load_bytes, shared_dir, store_bytes, table
+from pairloom.llm.common import giving_back, load_bytes, shared_dir, store_bytes, table
 
 #: Words of a segment; a passage is two such stretches, so every segment lies whole in some passage.
 SEGMENT = 64
@@ -284,7 +284,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             bad = {a + n for file in files for a, z in _chunks(texts) for n, *_ in _index(file).leaks(texts[a:z])}
             yield b.filter(pa.array([n not in bad for n in range(len(texts))])) if bad else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def op2_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import table
+from pairloom.llm.common import giving_back, table
 from pairloom.llm.labelled import fit_logistic, fold, hash_order, logistic, sample, share_of
 from pairloom.llm.toxicity import score_texts
 
@@ -157,7 +157,7 @@ def keep_good(docs: DataFrame, model: QualityModel, least: float = PREDICT_FROM)
         for b in batches:
             yield b.filter(pa.array([model.score(t.as_py()) >= least for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialise
+from pairloom.llm.common import giving_back, materialise
 from pairloom.llm.components import connected_components
 from pairloom.llm.simhash import NO_ID, covering_masks, keep_first, simhash_of
 
@@ -90,7 +90,7 @@ def _prints(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("\x00"))).alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id long, key long, node long, bands array<long>, text string")
+    return rows.mapInArrow(giving_back(run), "doc_id long, key long, node long, bands array<long>, text string")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -104,7 +104,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             good = [jaccard(held(x.as_py()), held(y.as_py())) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(u, "u").join(v, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "tu", "tv").mapInArrow(giving_back(run), "u long, v long")
 
 
 def links(roots: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -150,7 +150,7 @@ def _large_edges(large: DataFrame, texts: DataFrame, least: float, block: int) -
         u, v = (nodes[[p[k] for p in found]] for k in (0, 1))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    sets = texts.join(large.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(to_sets, "node long, size long, shingles array<long>")
+    sets = texts.join(large.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(giving_back(to_sets), "node long, size long, shingles array<long>")
     sets = materialise(sets, "similar-sets")
     blocks = large.join(sets.select("node", "size"), "node").groupBy("t", "key").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node", F.lit(-1)), F.col("blocks")).cast("int")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import checked_broadcast, materialise, shared_dir, store_bytes, table
+from pairloom.llm.common import checked_broadcast, giving_back, materialise, shared_dir, store_bytes, table
 from pairloom.llm.rangecoder import BLOCK_IDS, decode_blocks, encode_blocks
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,7 +40,7 @@ END_ID = 2
 #: About so many are coded together.
 FILE_BLOCKS = 10
 #: Characters of texts that are tokenized at once.
-_CHUNK_CHARS = 4_000_000
+_CHUNK_CHARS = 2_000_000
 _MAGIC, _VERSION = 0x4B544C50, 2
 _HEAD = struct.Struct("<IIQII")
 #: A word of Latin letters, with a space before it or not, which the pre-tokenizer takes as one part.
@@ -128,15 +128,14 @@ class PieceTokenizer:
         self.written = np.array([ord(characters[b]) for b in range(256)], "<u4")
         # The same model on words that are written in the vocabulary's characters already, after spaces or before line ends.
         # Where no token reaches from one such word into the next, it takes many words as one part.
-        inner = {characters[b] for b in _PLAIN_BYTES}
+        inner, vocabulary = {characters[b] for b in _PLAIN_BYTES}, self.library.get_vocab()
         self.words, self.marked = {}, {}
         for mark, how in ((" ", "merged_with_next"), ("\n", "isolated")):
             character = characters[ord(mark)]
-            joint = [t for t in self.library.get_vocab() if character in t[mark == " " :] and t.strip(character) and {*t} - {character} <= inner]
-            self.words[mark] = Tokenizer.from_file(path)
-            self.words[mark].pre_tokenizer = Split(character, how) if joint else Split("\n", "isolated")  # which is no character of the vocabulary's
+            joint = [t for t in vocabulary if character in t[mark == " " :] and t.strip(character) and {*t} - {character} <= inner]
+            self.words[mark] = Split(character, how) if joint else Split("\n", "isolated")  # which is no character of the vocabulary's
             self.marked[mark] = np.zeros(65536, bool)
-            self.marked[mark][[i for t, i in self.library.get_vocab().items() if t.startswith(character)]] = True
+            self.marked[mark][[i for t, i in vocabulary.items() if t.startswith(character)]] = True
         self._remember([], np.zeros(0, np.uint16), np.zeros(1, np.int32), np.zeros(0, np.int32))
 
     def _remember(self, pieces: list[str], ids: np.ndarray, at: np.ndarray, uses: np.ndarray) -> None:
@@ -169,7 +168,12 @@ class PieceTokenizer:
         offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
         written = self.written[np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]].tobytes().decode("utf-32-le")
         edges = [*(offsets[:-1:_WORDS_AT_ONCE] - offsets[0]).tolist(), len(written)]
-        parts = self.words[mark].encode_batch_fast([written[a:z] for a, z in zip(edges, edges[1:], strict=False)], add_special_tokens=False)
+        pre = self.library.pre_tokenizer
+        self.library.pre_tokenizer = self.words[mark]  # a second vocabulary would take 20 MB
+        try:
+            parts = self.library.encode_batch_fast([written[a:z] for a, z in zip(edges, edges[1:], strict=False)], add_special_tokens=False)
+        finally:
+            self.library.pre_tokenizer = pre
         ids = np.concatenate([np.array(e.ids, np.uint16) for e in parts])
         # A token has the mark in no other place than at its beginning.
         at = self.marked[mark][ids].nonzero()[0]
@@ -317,6 +321,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
             """Writes the first documents and keeps the others."""
             nonlocal made, names, sizes, ids
             name, size = f"part-{part:06d}-{made:06d}.tokens", int(sizes[:documents].sum())
+            pa.default_memory_pool().release_unused()
             store_bytes(folder, name, pack_file(names[:documents], sizes[:documents], ids[:size]))
             made, names, sizes, ids = made + 1, names[documents:], sizes[documents:], ids[size:]
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, documents, size)], ["file", "documents", "ids"])
@@ -337,7 +342,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
         if names:
             yield flush(len(names))
 
-    return materialise(rows.drop("row").mapInArrow(run, "file string, documents long, ids long"), "token-manifest")
+    return materialise(rows.drop("row").mapInArrow(giving_back(run), "file string, documents long, ids long"), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
@@ -368,7 +373,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) ->
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tokens").load(folder)
-    return files.select("path", "content").mapInArrow(run, schema)
+    return files.select("path", "content").mapInArrow(giving_back(run), schema)
 
 
 def round_trip(docs: DataFrame, name: str = "tokens") -> DataFrame:

@@ -345,6 +345,16 @@ def test_plain_words_equal_the_library():
     assert t.encode(some) == t._library(some)
 
 
+def test_tokenizer_holds_one_vocabulary():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = tokenfiles.PieceTokenizer(public_tokenizers.path(tokenfiles.TOKENIZER))
+    assert sum(isinstance(x, Tokenizer) for x in [*vars(t).values(), *t.words.values()]) == 1
+    before, some = t._library(["It's a word, ßome more\n\nwords"]), ["two plain words", "line"]
+    assert t.encode(some) == t._library(some) and t._library(["It's a word, ßome more\n\nwords"]) == before
+
+
 def test_frequent_pieces_are_not_forgotten(monkeypatch):
     import public_tokenizers
 

@@ -74,3 +74,35 @@ def test_large_buckets_lose_no_link(spark):
         got = {x.node: x.root for x in connected_components(similar_edges(distinct, block=block)).collect()}
         assert [got.get(i, i) for i in range(len(root))] == root
     assert len(set(root)) <= 100 and links(np.arange(3), [sets[0], sets[2], sets[1]], 0.8) == [(2, 0)]
+
+
+def test_workers_give_memory_back():
+    import subprocess
+    import sys
+
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from pairloom.llm import quality, tokenfiles
+
+class Docs:
+    columns, schema = ["text"], None
+    def mapInArrow(self, run, schema):
+        return run
+
+class Model:
+    def score(self, text):
+        some = [np.ones(100_000, np.uint8) for _ in range(600)]
+        Model.last = np.ones(100_000, np.uint8)  # beyond them, so that what is freed is not at the heap's end
+        return 1.0
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+tokenfiles.keep_freed_memory()  # as in a worker that has had the tokens stage
+run, before = quality.keep_good(Docs(), Model()), held()
+assert [b.num_rows for b in run(iter([pa.record_batch([["a", "b"]], ["text"])]))] == [2]
+print(held() - before)
+"""
+    took = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__import__("pathlib").Path(__file__).parents[2]).stdout)
+    assert took < 40  # of 57 MB and what else a process takes; 79 when they were kept
