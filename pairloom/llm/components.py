@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialise
+from pairloom.llm.common import driver_gives_back, materialise
 
 
 def _state(edges: DataFrame) -> tuple[int, str]:
@@ -34,6 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, F.col("u") == F.col("_u")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(small.unionByName(low.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct(), "cc")
         new = _state(e)
+        driver_gives_back(edges.sparkSession)
         if new == state:
             break
         state = new

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import giving_back, table
+from pairloom.llm.common import driver_gives_back, giving_back, table
 from pairloom.llm.labelled import fit_logistic, fold, hash_order, logistic, sample, share_of
 from pairloom.llm.toxicity import score_texts
 
@@ -100,7 +100,8 @@ class QualityModel:
     def __init__(self, labelled: list[tuple[int, str, int]], share: float | None = None):
         self._read, self.calibration = None, None
         self.base = sum(y for _, _, y in labelled) / max(1, len(labelled)) if share is None else share
-        rows = [(hash_order(d) % 4, self._features(t), y) for d, t, y in labelled]
+        read = _Reader()  # not kept: the driver need not remember words
+        rows = [(hash_order(d) % 4, read(t), y) for d, t, y in labelled]
         learn, rest = [r for r in rows if r[0]], [r for r in rows if not r[0]]
         if len({y for _, _, y in learn}) < 2 or len({y for _, _, y in rest}) < 2:
             return
@@ -133,7 +134,10 @@ class QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD_OUT) -> QualityModel:
     """Learns from labels.quality of a bounded sample outside the held-out fold."""
     rows = sample(docs, labels, "quality", folds, held, SAMPLE_ROWS, SAMPLE_CHARS)
-    return QualityModel(rows, share_of(labels, "quality", folds, held))
+    model = QualityModel(rows, share_of(labels, "quality", folds, held))
+    del rows
+    driver_gives_back(docs.sparkSession)
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, folds: int = FOLDS, held: int = HELD_OUT) -> DataFrame:

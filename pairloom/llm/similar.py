@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import giving_back, materialise
+from pairloom.llm.common import driver_gives_back, giving_back, materialise
 from pairloom.llm.components import connected_components
 from pairloom.llm.simhash import NO_ID, covering_masks, keep_first, simhash_of
 
@@ -170,6 +170,7 @@ def similar_edges(distinct: DataFrame, least: float = LEAST, rounds: int = ROUND
     none = distinct.sparkSession.createDataFrame([], "u long, v long")
     edges, tested, roots = none, none, None
     for k in range(rounds + 1):
+        driver_gives_back(distinct.sparkSession)
         at = members.withColumn("root", F.col("node"))
         if roots is not None:
             at = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
