@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import materialise, table
+from pairloom.llm.common import checked_broadcast, materialise, table
 from pairloom.llm.components import connected_components
 
 RADIUS = 2
@@ -152,7 +152,7 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     gone = named.select("id", "key").distinct().join(first, ["id", "key"], "left_anti").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
     key = F.xxhash64(F.coalesce("text", F.lit("\x00")))
     is_gone = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (key == F.col("_key"))
-    kept = docs.join(materialise(gone, "simhash-gone"), is_gone, "left_anti")
+    kept = docs.join(checked_broadcast(materialise(gone, "simhash-gone")), is_gone, "left_anti")
     twice = named.groupBy("id", "key").count().filter("count > 1").join(first, ["id", "key"])
     if not twice.limit(1).count():
         return kept

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import driver_gives_back, giving_back, materialise
+from pairloom.llm.common import checked_broadcast, driver_gives_back, giving_back, materialise
 from pairloom.llm.components import connected_components
 from pairloom.llm.simhash import NO_ID, covering_masks, keep_first, simhash_of
 
@@ -166,7 +166,8 @@ def similar_edges(distinct: DataFrame, least: float = LEAST, rounds: int = ROUND
     bands = distinct.select("node", F.posexplode("bands").alias("t", "key"))
     shared = materialise(bands.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "similar-shared")
     members = materialise(bands.join(shared, ["t", "key"]), "similar-members")
-    texts = materialise(distinct.select("node", "text").join(members.select("node").distinct(), "node", "left_semi"), "similar-texts")
+    known = checked_broadcast(materialise(members.select("node").distinct(), "similar-nodes"))  # else all texts are shuffled
+    texts = materialise(distinct.select("node", "text").join(known, "node", "left_semi"), "similar-texts")
     none = distinct.sparkSession.createDataFrame([], "u long, v long")
     edges, tested, roots = none, none, None
     for k in range(rounds + 1):

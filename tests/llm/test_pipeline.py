@@ -137,3 +137,17 @@ def test_driver_gives_memory_back(spark):
     unsafe.freeMemory(some[-1])
     assert before - held() > 150  # of 381 MB that the JVM has freed
     assert QualityModel([(i, f"good words {i}" if i % 2 else f"bad text {i}", i % 2) for i in range(60)])._read is None
+
+
+def test_few_gone_rows_do_not_shuffle_texts(spark):
+    from pairloom.llm.simhash import keep_first
+
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    found = docs.selectExpr("doc_id", "xxhash64(text) AS key", "xxhash64(text) AS root")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = keep_first(docs, found)
+        assert "BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
