@@ -29,6 +29,7 @@ MAGIC = 0x32524D43
 BLOCK_IDS = 1 << 18
 #: Contexts of order 2 are hashed to so many slots a block.
 _SLOTS = 1 << 16
+_BY_TWO, _BY_ONE = np.uint16(40503), np.uint16(25173)
 #: An id's row of counts is that of the 2 ** 16 ids or, one beyond them, the escape.
 _IDS = 1 << 16
 _SHARES = 1 << 16
@@ -44,6 +45,8 @@ _COUNT_AT = (4, 16, 64, 192, 512)
 _SURE, _OFTEN, _VARIED = 8, 8, 4
 _EDGES = np.array([1, 2, 4, 8, 32, 128, 1024])
 _ROWS = _SURE * _OFTEN * _VARIED
+#: So that 16 bits further down it is where the rows of shares begin.
+_SURE_BIT = 16 + (_OFTEN * _VARIED).bit_length() - 1
 
 
 def _first_shares() -> np.ndarray:
@@ -70,7 +73,7 @@ class _Models:
     def __init__(self, blocks: int, lanes: int):
         self.blocks, self.block = blocks, np.repeat(np.arange(blocks), lanes)
         self.slots, self.rows, self.shares, self.ids = (self.block * n for n in (_SLOTS, _IDS, _ROWS, _IDS + 1))
-        self.last = np.zeros(blocks * _SLOTS, np.int32)  # the id that came last, above its 16 bits how sure it is
+        self.last = np.zeros(blocks * _SLOTS, np.int32)  # the id that came last, from bit _SURE_BIT on how sure it is
         self.share = np.tile(_first_shares(), (blocks, 1))
         self.count = np.zeros((blocks, _IDS + 1), np.int64)
         self.by_id = np.zeros(self.count.size, np.int64)
@@ -87,7 +90,7 @@ class _Models:
     def _id_tables(self) -> None:
         """Entry of an id: itself, above 17 bits where it starts among the block's ids, above 20 more its count."""
         self.count[:, _IDS] = 1
-        at = self.count.ravel().nonzero()[0]
+        at = (self.count.ravel() != 0).nonzero()[0]
         self.seen, block = self.count.ravel()[at], at // (_IDS + 1)
         # An escape weighs as much as the ids that came once; itself it is the last of its block.
         escape = np.searchsorted(block, np.arange(self.blocks), "right") - 1
@@ -98,17 +101,22 @@ class _Models:
         self.by_id[at] = self.entry = (at - block * (_IDS + 1)) | start << 17 | self.seen << 37
 
     def context(self, one: np.ndarray, two: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(slot of order 2, what it holds, row of shares) of ids before, by lane, and the kinds of their rows of order 1."""
-        slot = self.slots + ((two * 40503 + one * 25173) & (_SLOTS - 1))  # whose low bits need no more than 32
+        """(slot of order 2, what it holds, row of shares) of ids before, u16 by lane, and the kinds of their rows of order 1."""
+        slot = self.slots + (two * _BY_TWO + one * _BY_ONE)  # which wraps around at _SLOTS
         held = self.last.take(slot)
-        return slot, held, self.shares + (held >> 16) * (_OFTEN * _VARIED) + kind
+        return slot, held, self.shares + (held >> 16) + kind
 
-    def learn(self, ids: np.ndarray, slot: np.ndarray, held: np.ndarray, share: np.ndarray, part: np.ndarray) -> None:
-        """Order 2 and the shares, from arrays of steps x lanes."""
-        ids, slot, held, share, part = (v.ravel() for v in (ids, slot, held, share, part))
-        self.share += np.bincount(share * 3 + part, minlength=self.share.size).reshape(self.share.shape)
+    def learn(self, ids: np.ndarray, slot: np.ndarray, held: np.ndarray, which: np.ndarray, part: np.ndarray) -> None:
+        """Order 2 and the shares, from arrays of steps x lanes; which: three times the row of shares and the order that coded the id."""
+        self.share += np.bincount(which.ravel(), minlength=self.share.size).reshape(self.share.shape)
         # Of several in one slot, the one written last holds.
-        self.last[slot] = (np.where(part == 0, np.minimum((held >> 16) + 1, _SURE - 1), 1) << 16) + ids
+        new = np.minimum(held, np.int32((_SURE - 2 << _SURE_BIT) + _IDS - 1))
+        new >>= _SURE_BIT
+        new *= part == 0
+        new += 1
+        new <<= _SURE_BIT
+        new += ids
+        self.last[slot.ravel()] = new.ravel()
         self._share_tables()
 
     def learn_ids(self, ids: np.ndarray) -> None:
@@ -128,6 +136,9 @@ def _kinds(size: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.searchsorted(_EDGES, size, "right") * _VARIED + np.minimum(kinds * _VARIED // np.maximum(size, 1), _VARIED - 1)
 
 
+_SIZE_AT, _LOW_AT, _KIND = 16, 35, (1 << 16) - 1
+
+
 class _Followers:
     """Order 1 for a decoder: the ids that followed each id, in rows beside those of order 0."""
 
@@ -135,9 +146,9 @@ class _Followers:
         self.model = model
         # Block, id before and id of all that was learnt, sorted.
         self.pairs = np.zeros(0, np.int64)
-        # Rows of entries: an id's followers, then a block's ids, then one that costs nothing. Of each its kind,
-        # above 5 bits its size and above 19 more where it begins.
-        self.rows = np.zeros(model.blocks * _IDS, np.int64)
+        # Rows of entries: an id's followers, then a block's ids, then one that costs nothing. Of each the block's first row of
+        # shares and its kind, from bit _SIZE_AT on its size and from bit _LOW_AT on where it begins.
+        self.rows = np.repeat(np.arange(model.blocks) * _ROWS, _IDS)
         self._tables()
 
     def _tables(self) -> None:
@@ -148,14 +159,16 @@ class _Followers:
         head = _starts(keys >> 16)
         rows, low = keys[head] >> 16, run[head]
         size, kinds = np.diff(low, append=len(k)), np.diff(head, append=len(run))
-        self.rows[rows] = _kinds(size, kinds) | size << 5 | low << 24
+        self.rows[rows] = (rows >> 16) * _ROWS + _kinds(size, kinds) | size << _SIZE_AT | low << _LOW_AT
         entry = (keys & (_IDS - 1)) | (run - np.repeat(low, kinds)) << 17 | times << 37
-        self.zero = (model.total << 5 | (len(k) + np.cumsum(model.total) - model.total) << 24)[model.block]
-        self.entries = np.concatenate([np.repeat(entry, times), np.repeat(model.entry, model.seen), [1 << 37]])
-        self.none = 1 << 5 | (len(self.entries) - 1) << 24
+        self.zero = (model.total << _SIZE_AT | (len(k) + np.cumsum(model.total) - model.total) << _LOW_AT)[model.block]
+        self.entries = np.repeat(np.concatenate([entry, model.entry, [1 << 37]]), np.concatenate([times, model.seen, [1]]))
+        self.none = 1 << _SIZE_AT | (len(self.entries) - 1) << _LOW_AT
 
     def learn(self, ids: np.ndarray, one: np.ndarray) -> None:
-        self.pairs = np.concatenate([self.pairs, np.sort((((self.model.rows + one) << 16) + ids).ravel())])
+        lanes = ids.shape[1] // self.model.blocks
+        pairs = [np.sort((one[:, a : a + lanes].astype(np.uint32) << 16) + ids[:, a : a + lanes], axis=None) for a in range(0, ids.shape[1], lanes)]
+        self.pairs = np.concatenate([self.pairs, ((np.arange(len(pairs)) << 32)[:, None] + np.stack(pairs)).ravel()])
         self.pairs.sort(kind="stable")  # merges the two
         self._tables()
 
@@ -217,8 +230,8 @@ class _Encoder:
         self.low, self.range = np.zeros(lanes), np.full(lanes, _TOP)
         self.lanes, self.digits = [], []
 
-    def shift(self) -> None:
-        short = (self.range < _DIGIT).nonzero()[0]
+    def shift(self, short: np.ndarray) -> None:
+        """A digit leaves these lanes, whose range is short."""
         if len(short):
             low = self.low[short]
             digit = np.floor(low / _DIGIT)
@@ -229,17 +242,18 @@ class _Encoder:
             self.range[short] *= _DIGIT
 
     def put(self, start: np.ndarray, size: np.ndarray, total) -> None:
-        unit = np.floor(self.range / total)
+        unit = self.range / total
+        np.floor(unit, out=unit)
         self.low += unit * start
-        self.range = unit * size
-        self.shift()
+        np.multiply(unit, size, out=self.range)
+        self.shift((self.range < _DIGIT).nonzero()[0])
 
     def put_id(self, lanes: np.ndarray, ids: np.ndarray) -> None:
         """Plain ids of some lanes."""
         unit = np.floor(self.range[lanes] / _IDS)
         self.low[lanes] += unit * ids
         self.range[lanes] = unit
-        self.shift()
+        self.shift(lanes[unit < _DIGIT])
 
     def end(self) -> list[np.ndarray]:
         """The digits of each lane."""
@@ -265,15 +279,17 @@ def _encode_steps(model: _Models, coder: _Encoder, ids: np.ndarray, follower: np
     part = np.where(count > 0, np.int8(1), np.int8(2))
     part[(held & 0xFFFF) == x] = 0
     first = part == 1
-    start, count, total = (np.where(first, v, other).astype(float) for v, other in ((follower >> 24 & 0x3FFFF, 0), (count, 1), (follower >> 5 & 0x7FFFF, 1)))
+    follower = np.where(first, follower, 1 << 42 | 1 << 5)
+    start, count, total = ((follower >> 24 & 0x3FFFF).astype(float), (follower >> 42).astype(float), (follower >> 5 & 0x7FFFF).astype(float))
     zeroth = (part == 2).ravel().nonzero()[0]
     lane = zeroth % lanes
     by_id = model.by_id[model.ids[lane] + x.ravel()[zeroth]]
     new = by_id == 0
     by_id[new] = model.by_id[model.ids[lane[new]] + _IDS]
     start.reshape(-1)[zeroth], count.reshape(-1)[zeroth], total.reshape(-1)[zeroth] = (by_id >> 17) & 0xFFFFF, by_id >> 37, model.total[model.block[lane]]
-    which = share * 3 + part
-    upto, width = model.upto.take(which), model.width.take(which)
+    orders = share * 3
+    orders += part
+    upto, width = model.upto.take(orders), model.width.take(orders)
     new = zeroth[new]
     new = np.split(new, np.searchsorted(new, np.arange(1, steps) * lanes))
     for k in range(steps):
@@ -282,7 +298,7 @@ def _encode_steps(model: _Models, coder: _Encoder, ids: np.ndarray, follower: np
         if len(new[k]):
             which = new[k] - k * lanes
             coder.put_id(which, x[k, which])
-    return slot, held, share, part
+    return slot, held, orders, part
 
 
 def _encode_shape(blocks: list[np.ndarray]) -> list[bytes]:
@@ -290,10 +306,11 @@ def _encode_shape(blocks: list[np.ndarray]) -> list[bytes]:
     n, (lanes, steps) = len(blocks), _shape(len(blocks[0]), lanes_of(len(blocks[0])))
     # Two rows of zeros come first, so that the ids before are there too. Lanes are filled up with
     # id 0; the count in the head cuts that off.
-    ids = np.zeros((steps + 2, n * lanes), np.int32)
+    ids = np.zeros((steps + 2, n * lanes), np.uint16)
     for k, b in enumerate(blocks):
         ids[2:, k * lanes : (k + 1) * lanes] = np.concatenate([b, np.zeros(steps * lanes - len(b), b.dtype)]).reshape(lanes, steps).T
-    slots, helds, shares = np.zeros((3, _LEARN_EVERY, n * lanes), np.int32)
+    slots, orders = np.zeros((2, _LEARN_EVERY, n * lanes), np.int64)
+    helds = np.zeros((_LEARN_EVERY, n * lanes), np.int32)
     parts = np.zeros((_LEARN_EVERY, n * lanes), np.int8)
     model, coder, counted = _Models(n, lanes), _Encoder(n * lanes), 0
     followers = _followers(model, ids)
@@ -301,9 +318,9 @@ def _encode_shape(blocks: list[np.ndarray]) -> list[bytes]:
         for at in range(a, z, _AT_ONCE):  # stays within the cache
             end = min(z, at + _AT_ONCE)
             to = slice(at - a, end - a)
-            slots[to], helds[to], shares[to], parts[to] = _encode_steps(model, coder, ids[at : end + 2], followers[at:end])
+            slots[to], helds[to], orders[to], parts[to] = _encode_steps(model, coder, ids[at : end + 2], followers[at:end])
         if z < steps:
-            model.learn(ids[a + 2 : z + 2], *(v[: z - a] for v in (slots, helds, shares, parts)))
+            model.learn(ids[a + 2 : z + 2], *(v[: z - a] for v in (slots, helds, orders, parts)))
             if learn:
                 model.learn_ids(ids[counted + 2 : z + 2])
                 counted = z
@@ -353,6 +370,20 @@ class _Decoder:
             self.range[short] *= _DIGIT
             self.at[short] = at + self.lanes
 
+    def take_id(self, lanes: np.ndarray) -> np.ndarray:
+        """Plain ids of some lanes."""
+        size, value = self.range[lanes], self.value[lanes]
+        unit = np.floor(size * (1 / _IDS))
+        ids = np.floor(value / unit)
+        value -= unit * ids
+        short = (unit < _DIGIT).nonzero()[0]
+        at = self.at[lanes[short]]
+        value[short] = value[short] * _DIGIT + self.data.take(at, mode="clip")
+        unit[short] *= _DIGIT
+        self.value[lanes], self.range[lanes] = value, unit
+        self.at[lanes[short]] = at + self.lanes
+        return ids
+
 
 def _decode_shape(records: list[bytes], sizes: list[int], lanes: int, steps: int) -> list[np.ndarray]:
     """Blocks of one shape and so many ids, none of which is plain."""
@@ -363,41 +394,47 @@ def _decode_shape(records: list[bytes], sizes: list[int], lanes: int, steps: int
         streams += np.split(raw @ np.array([1, 1 << 8, 1 << 16]), ends[:-1])
     model, coder, counted = _Models(n, lanes), _Decoder(streams), 0
     rows = _Followers(model)
-    ids = np.zeros((steps + 2, n * lanes), np.int32)  # as in _encode_shape()
-    slots, helds, shares = np.zeros((3, _LEARN_EVERY, n * lanes), np.int32)
+    ids = np.zeros((steps + 2, n * lanes), np.uint16)  # as in _encode_shape()
+    slots, orders = np.zeros((2, _LEARN_EVERY, n * lanes), np.int64)
+    helds = np.zeros((_LEARN_EVERY, n * lanes), np.int32)
     parts = np.zeros((_LEARN_EVERY, n * lanes), np.int8)
     for a, z, learn in _stretches(steps):
-        for k in range(a, z):
+        two, one, upto, width, zero, none, entries = model.two, model.one, model.upto, model.width, rows.zero, rows.none, rows.entries
+        for k, slot, held, order, part in zip(range(a, z), slots, helds, orders, parts, strict=False):
             row = rows.rows.take(model.rows + ids[k + 1])
-            slot, held, share = model.context(ids[k + 1], ids[k], row & 31)
-            unit = np.floor(coder.range / _SHARES)
-            not_two, not_one = coder.value >= unit * model.two.take(share), coder.value >= unit * model.one.take(share)
-            which = 3 * share + np.add(not_two, not_one, out=parts[k - a], dtype=np.int8)
-            coder.value -= unit * model.upto.take(which)
-            coder.range = unit * model.width.take(which)
+            np.add(model.slots, ids[k] * _BY_TWO + ids[k + 1] * _BY_ONE, out=slot)
+            model.last.take(slot, out=held, mode="clip")
+            share = (row & _KIND) + (held >> 16)
+            unit = np.floor(coder.range * (1 / _SHARES))
+            not_two, not_one = coder.value >= unit * two.take(share), coder.value >= unit * one.take(share)
+            np.multiply(share, 3, out=order)
+            order += np.add(not_two.view(np.int8), not_one.view(np.int8), out=part)
+            coder.value -= unit * upto.take(order)
+            np.multiply(unit, width.take(order), out=coder.range)
             coder.shift()
-            at = np.where(not_one, rows.zero, np.where(not_two, row, rows.none))
-            unit = np.floor(coder.range / (at >> 5 & 0x7FFFF))
-            entry = rows.entries.take((at >> 24) + (coder.value / unit).astype(np.int64), mode="clip")
-            coder.value -= unit * ((entry >> 17) & 0xFFFFF)
-            coder.range = unit * (entry >> 37)
+            at = np.where(not_two, row, none)
+            np.copyto(at, zero, where=not_one)
+            unit = np.floor(coder.range / (at >> _SIZE_AT & 0x7FFFF))
+            at >>= _LOW_AT
+            at += (coder.value / unit).astype(np.int64)
+            entry = entries.take(at, mode="clip")
+            coder.value -= unit * (entry >> 17 & 0xFFFFF)
+            np.multiply(unit, entry >> 37, out=coder.range)
             coder.shift()
-            x = np.where(not_two, entry & 0x1FFFF, held & 0xFFFF)
-            new = (x == _IDS).nonzero()[0]
-            if len(new):
-                unit = np.floor(coder.range[new] / _IDS)
-                x[new] = got = np.floor(coder.value[new] / unit).astype(np.int64)
-                coder.value[new] -= unit * got
-                coder.range[new] = unit
-                coder.shift()
-            ids[k + 2], slots[k - a], helds[k - a], shares[k - a] = x, slot, held, share
+            x = ids[k + 2]
+            x[:] = held
+            np.copyto(x, entry, where=not_two, casting="unsafe")
+            if len(first := not_one.nonzero()[0]):
+                new = first[entry.take(first) & 0x1FFFF == _IDS]
+                if len(new):
+                    x[new] = coder.take_id(new)
         if z < steps:
-            model.learn(ids[a + 2 : z + 2], *(v[: z - a] for v in (slots, helds, shares, parts)))
+            model.learn(ids[a + 2 : z + 2], *(v[: z - a] for v in (slots, helds, orders, parts)))
             if learn:
                 model.learn_ids(ids[counted + 2 : z + 2])
                 rows.learn(ids[counted + 2 : z + 2], ids[counted + 1 : z + 1])
                 counted = z
-    ids = ids[2:].T.reshape(n, lanes * steps).view(np.uint32)
+    ids = ids[2:].T.reshape(n, lanes * steps).astype(np.uint32)
     return [b[:size] for b, size in zip(ids, sizes, strict=True)]
 
 

@@ -21,7 +21,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import compress, repeat
 
 import numpy as np
 import public_tokenizers
@@ -50,7 +49,7 @@ _PLAIN_BYTES = b"".join(bytes(range(a, z + 1)) for a, z in ((0x41, 0x5A), (0x61,
 #: Such words that the model takes at once.
 _WORDS_AT_ONCE = 64
 #: Pieces that a worker remembers, and ids of pieces; then it forgets those that were rare.
-_REMEMBERED, _REMEMBERED_IDS = 700_000, 1 << 26
+_REMEMBERED, _REMEMBERED_IDS = 1_200_000, 1 << 26
 #: By path, so that a worker's tasks share what it remembers.
 _TOKENIZERS: dict[str, PieceTokenizer] = {}
 
@@ -104,6 +103,104 @@ def _piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return cut[:-1].nonzero()[0]
 
 
+#: Bytes of pieces that fit two numbers, which are looked up by column, beside their count in the last byte.
+_SHORT = 15
+_FIRST, _SECOND, _FOLD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+#: By how many bytes a piece has, last for all above _SHORT: those of its 16 that count, and what is put beside them.
+_MASKS = np.array([[(1 << 8 * min(n, 8)) - 1, (1 << 8 * max(n - 8, 0)) - 1] for n in range(_SHORT + 1)] + [[0, 0]], np.uint64)
+_COUNTS = np.arange(_SHORT + 2, dtype=np.uint64) << np.uint64(56)
+
+
+class _Pieces:
+    """Numbers pieces, given as bytes, from 0 on in the order in which they come; finds the numbers of a whole column at once.
+
+    Pieces of up to _SHORT bytes, nearly all, are two numbers that hold their bytes, in a table with open addressing.
+    """
+
+    def __init__(self):
+        self.long: dict[bytes, int] = {}
+        self.size = 0
+        self._room(1 << 16)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __contains__(self, piece: str) -> bool:
+        data = np.frombuffer(piece.encode(), np.uint8)
+        return piece.encode() in self.long if len(data) > _SHORT else bool(self.find(self.keys_of(data, np.zeros(1, np.int64), np.array([len(data)])))[0] >= 0)
+
+    def _room(self, slots: int) -> None:
+        # A row whose second number is 0 is free.
+        self.keys, self.numbers = np.zeros((slots, 2), np.uint64), np.zeros(slots, np.int32)
+
+    @staticmethod
+    def keys_of(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Two numbers for each piece of these bytes; longer ones than _SHORT get two that are never in the table."""
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        keys = np.ndarray(len(data) + 1, "V16", padded, strides=(1,))[starts].view("<u8").astype(np.uint64, copy=False).reshape(-1, 2)
+        size = np.minimum(sizes, _SHORT + 1)
+        keys &= _MASKS.take(size, axis=0)
+        keys[:, 1] |= _COUNTS.take(size)
+        return keys
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        h = keys[:, 0] * _FIRST
+        h ^= keys[:, 1] * _SECOND
+        h ^= h >> np.uint64(32)
+        h *= _FOLD
+        h >>= np.uint64(65 - len(self.keys).bit_length())
+        return h.view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Their numbers, -1 for those that are not there."""
+        slot, out = self._slots(keys), np.full(len(keys), -1, np.int32)
+        held = self.keys.take(slot, axis=0)
+        same = (held[:, 0] == keys[:, 0]) & (held[:, 1] == keys[:, 1])
+        np.copyto(out, self.numbers.take(slot), where=same)
+        left = (~same & (held[:, 1] != 0)).nonzero()[0]
+        slot, keys = slot.take(left), keys.take(left, axis=0)
+        while len(left):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            held = self.keys.take(slot, axis=0)
+            same = (held[:, 0] == keys[:, 0]) & (held[:, 1] == keys[:, 1])
+            out[left[same]] = self.numbers.take(slot[same])
+            more = (~same & (held[:, 1] != 0)).nonzero()[0]
+            left, slot, keys = left.take(more), slot.take(more), keys.take(more, axis=0)
+        return out
+
+    def _put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Into free rows; keys that are not there, each once."""
+        slot = self._slots(keys)
+        while len(slot):
+            free = (self.keys[slot, 1] == 0).nonzero()[0]
+            self.numbers[slot[free]] = numbers[free]
+            free = free[self.numbers[slot[free]] == numbers[free]]  # of several for one row, the one written last
+            self.keys[slot[free]] = keys[free]
+            left = np.ones(len(slot), bool)
+            left[free] = False
+            slot, keys, numbers = (slot[left] + 1) & (len(self.keys) - 1), keys[left], numbers[left]
+
+    def add(self, keys: np.ndarray, long: list[bytes], numbers: np.ndarray, long_numbers: list[int]) -> None:
+        """New pieces, each once: short ones by their keys and long ones, with their numbers."""
+        self.long.update(zip(long, long_numbers, strict=True))
+        self.size += len(keys) + len(long)
+        if 5 * self.size > 3 * len(self.keys):
+            there = self.keys[:, 1].nonzero()[0]
+            old, of_old = self.keys[there], self.numbers[there]
+            self._room(1 << (2 * self.size).bit_length())
+            self._put(old, of_old)
+        self._put(keys, numbers)
+
+    def only(self, keep: np.ndarray) -> _Pieces:
+        """Those of the numbers where keep holds, numbered anew in their order."""
+        there = self.keys[:, 1].nonzero()[0]
+        there, out = there[keep[self.numbers[there]]], _Pieces()
+        number = (np.cumsum(keep) - 1).astype(np.int32)
+        long = [w for w, k in self.long.items() if keep[k]]
+        out.add(self.keys[there], long, number[self.numbers[there]], [int(number[self.long[w]]) for w in long])
+        return out
+
+
 class PieceTokenizer:
     """The ids of the tokenizers library, computed once for each piece of text between places where its pre-tokenizer cuts.
 
@@ -136,13 +233,12 @@ class PieceTokenizer:
             self.words[mark] = Split(character, how) if joint else Split("\n", "isolated")  # which is no character of the vocabulary's
             self.marked[mark] = np.zeros(65536, bool)
             self.marked[mark][[i for t, i in vocabulary.items() if t.startswith(character)]] = True
-        self._remember([], np.zeros(0, np.uint16), np.zeros(1, np.int32), np.zeros(0, np.int32))
+        self._remember(_Pieces(), np.zeros(0, np.uint16), np.zeros(1, np.int32), np.zeros(0, np.int32))
 
-    def _remember(self, pieces: list[str], ids: np.ndarray, at: np.ndarray, uses: np.ndarray) -> None:
+    def _remember(self, pieces: _Pieces, ids: np.ndarray, at: np.ndarray, uses: np.ndarray) -> None:
         """Knows these pieces only, whose ids follow one another from at on."""
         # The number of a piece; by number, where its ids begin in pool and how often it was looked up. The last one ends the pool.
-        self.known: dict[str, int] = dict(zip(pieces, range(len(pieces)), strict=True))
-        self.pool, self.at, self.uses = ids, at, uses
+        self.known, self.pool, self.at, self.uses = pieces, ids, at, uses
 
     def _forget(self) -> None:
         """Keeps pieces that were looked up for several chunks, half of all at most."""
@@ -154,7 +250,7 @@ class PieceTokenizer:
             keep = uses >= least
         ids = self.pool[: self.at[n]][np.repeat(keep, all_of)]
         at = np.concatenate([[0], np.cumsum(all_of[keep])]).astype(np.int32)
-        self._remember(list(compress(self.known, keep.tolist())), ids, at, uses[keep] // 2)
+        self._remember(self.known.only(keep), ids, at, uses[keep] // 2)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -181,13 +277,13 @@ class PieceTokenizer:
             return ids, np.diff(at, append=len(ids))
         return np.delete(ids, at), np.diff(at, prepend=-1) - 1
 
-    def _learn(self, pieces: pa.Array, words: list[str]) -> np.ndarray:
-        """Remembers the ids of new pieces, the same in both; returns their numbers."""
+    def _learn(self, pieces: pa.Array, keys: np.ndarray) -> np.ndarray:
+        """Remembers the ids of new pieces, each once, with their keys; returns their numbers."""
         is_plain = pc.match_substring_regex(pieces, _PLAIN).to_numpy(zero_copy_only=False)
         spaced = pc.starts_with(pieces, " ").to_numpy(zero_copy_only=False)
         kinds = [(is_plain & spaced).nonzero()[0], (is_plain & ~spaced).nonzero()[0], (~is_plain).nonzero()[0]]
         order, n = np.concatenate(kinds), len(self.known)
-        others = self._library([words[k] for k in kinds[2].tolist()])
+        others = self._library(pieces.take(pa.array(kinds[2])).to_pylist())
         (ids, size), (more, sizes) = (self._plain(pieces.take(pa.array(k)), mark) for k, mark in zip(kinds, " \n", strict=False))
         ids = np.concatenate([ids, more, np.frombuffer(b"".join(others), "<u2")])
         size = np.concatenate([size, sizes, np.array([len(o) // 2 for o in others], np.int64)])
@@ -201,11 +297,35 @@ class PieceTokenizer:
         self.pool[base : base + len(ids)] = ids
         self.at[n + 1 : upto + 1] = base + np.cumsum(size)
         self.uses[n:upto] = 0
-        self.known.update(zip(map(words.__getitem__, order.tolist()), range(n, upto), strict=True))
         numbers = np.empty(len(order), np.int32)
         numbers[order] = np.arange(n, upto)
+        short = pc.binary_length(pieces).to_numpy() <= _SHORT
+        long = (~short).nonzero()[0]
+        self.known.add(keys[short], pieces.take(pa.array(long)).cast(pa.binary()).to_pylist(), numbers[short], numbers[long].tolist())
         return numbers
 
+    def _numbers(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The numbers of the pieces that begin there, after those that are new have been learnt."""
+        ends = np.append(starts, len(data)).astype(np.int32)
+        sizes = np.diff(ends)
+        keys = self.known.keys_of(data, starts, sizes)
+        number = self.known.find(keys)
+        rest = (number < 0).nonzero()[0]
+        if not len(rest):
+            return number
+        pieces = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).take(pa.array(rest)).dictionary_encode()
+        distinct, which = pieces.dictionary, pieces.indices.to_numpy()
+        found = np.full(len(distinct), -1, np.int32)
+        long = (pc.binary_length(distinct).to_numpy() > _SHORT).nonzero()[0]
+        found[long] = [self.known.long.get(w, -1) for w in distinct.take(pa.array(long)).cast(pa.binary()).to_pylist()]
+        new = (found < 0).nonzero()[0]
+        if len(new):
+            one = np.empty(len(distinct), np.int64)
+            one[which] = rest
+            found[new] = self._learn(distinct.take(pa.array(new)), keys[one[new]])
+        number[rest] = found[which]
+        return number
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, u16 little-endian."""
         ids, sizes = self.encode_column(pa.array(texts, pa.string()))
@@ -223,19 +343,13 @@ class PieceTokenizer:
             return np.frombuffer(b"".join(parts), "<u2"), np.array([len(p) // 2 for p in parts], np.int64)
         offsets = offsets - offsets[0]
         starts = _piece_starts(data, offsets[:-1][offsets[1:] > offsets[:-1]])
-        cuts = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
-        pieces = pa.Array.from_buffers(pa.string(), len(starts), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
         if len(self.known) > _REMEMBERED or self.at[len(self.known)] > _REMEMBERED_IDS:
             self._forget()
-        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int32, len(distinct))
-        new = (number < 0).nonzero()[0]
-        if len(new):
-            number[new] = self._learn(pieces.dictionary.take(pa.array(new)), [distinct[k] for k in new.tolist()])
+        number = self._numbers(data, starts)
         self.uses[number] += 1
         n = len(self.known)
         known = pa.ListArray.from_arrays(pa.array(self.at[: n + 1]), pa.array(self.pool[: self.at[n]]))
-        ids = known.take(pa.array(number)).take(pieces.indices)
+        ids = known.take(pa.array(number))
         upto = ids.offsets.to_numpy()
         return ids.flatten().to_numpy(), np.diff(upto[np.searchsorted(starts, offsets)]).astype(np.int64)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import duckdb
@@ -365,6 +366,52 @@ def test_frequent_pieces_are_not_forgotten(monkeypatch):
     assert "much" in t.known and " wab" not in t.known and len(t.known) < 200
 
 
+def test_remembered_pieces_are_no_objects(monkeypatch):
+    """A string and an entry of a dictionary for each cost look-ups outside the cache, and most of a worker's memory."""
+    import public_tokenizers
+
+    r = random.Random(4)
+    some = [" ".join("".join(r.choice("abcdeè") for _ in range(r.randint(4, 8))) for _ in range(300)) for _ in range(40)]
+    t = tokenfiles.PieceTokenizer(public_tokenizers.path(tokenfiles.TOKENIZER))
+    t.encode(["a b", "and a first word"])
+    before = sys.getallocatedblocks()
+    want = t._library(some)
+    assert t.encode(some) == want
+    assert len(t.known) > 8000 and sys.getallocatedblocks() - before < 2000
+    monkeypatch.setattr(t, "_learn", None)  # all are known now
+    assert t.encode(some[::-1]) == want[::-1]
+
+
+def test_pieces_of_all_lengths_are_found():
+    pieces = tokenfiles._Pieces()
+    r = random.Random(5)
+    some = list({"".join(r.choice("ab\0é字") for _ in range(r.randint(1, 9))) for _ in range(60_000)} | {"a" * n for n in range(1, 40)} | {"a" * n + "\0" for n in range(40)})
+    ends = np.cumsum([len(w.encode()) for w in some])
+    data, starts = np.frombuffer("".join(some).encode(), np.uint8), np.append(0, ends[:-1])
+    short = np.diff(ends, prepend=0) <= tokenfiles._SHORT
+    assert 1000 < short.sum() < len(some) - 1000
+    keys, number = pieces.keys_of(data, starts, np.diff(ends, prepend=0)), np.arange(len(some), dtype=np.int32)
+    for a in range(0, len(some), 7000):
+        z, mine = a + 7000, short[a : a + 7000]
+        assert (pieces.find(keys[a:z]) == -1).all()
+        pieces.add(keys[a:z][mine], [w.encode() for w, k in zip(some[a:z], mine, strict=True) if not k], number[a:z][mine], number[a:z][~mine].tolist())
+    assert (pieces.find(keys) == np.where(short, number, -1)).all() and len(pieces) == len(some)
+    assert all(w in pieces for w in some[::50]) and "abc " not in pieces
+    keep = number % 3 == 0
+    kept = pieces.only(keep)
+    assert (kept.find(keys) == np.where(short & keep, number // 3, -1)).all() and len(kept) == keep.sum()
+    assert kept.long == {w.encode(): k // 3 for k, w in enumerate(some) if keep[k] and not short[k]}
+
+
+def test_range_coder_writes_the_same_bytes():
+    """Files written before stay readable, whichever way the steps are computed."""
+    g = np.random.default_rng(6)
+    blocks = [(g.geometric(0.01, n) * g.integers(1, 9, n) % 50257).astype(np.uint16) for n in (1, 700, 9000, 9000, 60_000)]
+    records = rangecoder.encode_blocks(blocks)
+    assert zlib.crc32(b"".join(records)) == 0xAAA53B5A
+    assert all((a == b).all() for a, b in zip(rangecoder.decode_blocks(records), blocks, strict=True))
+
+
 def test_token_file_codes_blocks_together(monkeypatch):
     together = []
     for way in ("_encode_shape", "_decode_shape"):
